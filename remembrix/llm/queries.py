@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_simhash": op7_simhash,
         "op8_bpe": op8_bpe,
         "op10_token_counts": op10_token_counts,
     }
