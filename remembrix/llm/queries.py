@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .decontaminate import op6_decontaminate
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_decontaminate": op6_decontaminate,
         "op7_simhash": op7_simhash,
         "op8_bpe": op8_bpe,
         "op10_token_counts": op10_token_counts,
