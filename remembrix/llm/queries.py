@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontaminate import op6_decontaminate
+from .quality import op9_quality
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate,
         "op7_simhash": op7_simhash,
         "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
     }
 
