@@ -11,10 +11,12 @@ from .decontaminate import op6_decontaminate
 from .quality import op9_quality
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
+from .transport import op1_transport
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_transport": op1_transport,
         "op6_decontaminate": op6_decontaminate,
         "op7_simhash": op7_simhash,
         "op8_bpe": op8_bpe,
