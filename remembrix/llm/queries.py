@@ -12,11 +12,13 @@ from .quality import op9_quality
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 from .transport import op1_transport
+from .url_filter import op3_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_transport": op1_transport,
+        "op3_url_filter": op3_url_filter,
         "op6_decontaminate": op6_decontaminate,
         "op7_simhash": op7_simhash,
         "op8_bpe": op8_bpe,
