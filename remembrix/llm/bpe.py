@@ -20,19 +20,21 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, table, text_udf
+from .ragged import Pairs, merge_ragged
 
 #: White space of Unicode, as the normalizer's and the pattern's \s have it.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: What str.split() takes for white space beyond that.
 _ODD = re.compile("[\x1c-\x1f]")
 _WHITE_RUN = re.compile(f"[{WHITE}]+")
-_PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+_PRE_TOKEN = regex.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: Symbols of a leaf; a longer pre-token is a tree.
 LEAF = 16
 #: Tokens on each side of a seam that are encoded again at first.
@@ -61,6 +63,8 @@ class WordBpe:
         letters, end = _byte_characters(), model["end_of_word_suffix"]
         self.inner, self.last = [vocab[c] for c in letters], [vocab[c + end] for c in letters]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        self.look = Pairs(self.merges)
+        self.decimal = [str(i) for i in range(max(self.tokens) + 1)]
         #: The byte symbols that a token is made of.
         self.parts = {i: (i,) for i in (*self.inner, *self.last)}
         for (a, b), (_, new) in self.merges.items():
@@ -118,25 +122,51 @@ class WordBpe:
                 return left[: len(left) - len(a)] + got + right[len(b) :]
             width *= 2
 
-    def tree(self, symbols: list[int], leaf: int = LEAF) -> list[int]:
-        """Encodings of the leaves, joined pairwise level by level."""
+    @staticmethod
+    def leaves(symbols: list[int], leaf: int = LEAF) -> list[list[int]]:
+        """The sequence cut in halves again and again, down to leaves."""
         if len(symbols) <= leaf:
-            return self.merge(symbols)
+            return [symbols]
         pieces = 1 << (-(-len(symbols) // leaf) - 1).bit_length()
         bounds = [len(symbols) * k // pieces for k in range(pieces + 1)]
-        level = [self.merge(symbols[i:j]) for i, j in zip(bounds, bounds[1:], strict=False) if i < j]
+        return [symbols[i:j] for i, j in zip(bounds, bounds[1:], strict=False) if i < j]
+
+    def joined(self, level: list[list[int]]) -> list[int]:
+        """Encoded leaves joined pairwise, level by level."""
         while len(level) > 1:
             level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
-    def encode_piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "surrogatepass")
-        return self.tree([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]])
-
-    def encode_word(self, word: str) -> list[int]:
-        """The ids of a run without white space. Normalizing and splitting never look across white space."""
-        word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        return [i for piece in _PRE_TOKEN.findall(word) for i in self.encode_piece(piece)]
+    def encode_pieces(self, pieces: list[str], leaf: int = LEAF) -> list[list[int]]:
+        """The ids of each pre-token: all leaves are merged at the same time, then the trees are joined."""
+        leaves: list[tuple[int, list[int]]] = []
+        for k, piece in enumerate(pieces):
+            data = piece.encode("utf-8", "surrogatepass")
+            symbols = [self.inner[b] for b in data]
+            symbols[-1] = self.last[data[-1]]
+            leaves += [(k, part) for part in self.leaves(symbols, leaf)]
+        sizes = [len(part) for _, part in leaves]
+        owner = np.repeat(np.arange(len(leaves)), sizes)
+        ids, place = merge_ragged(np.array([s for _, part in leaves for s in part], np.int64), owner, self.look)
+        ends = np.searchsorted(owner[place], np.arange(len(leaves)), "right").tolist()
+        ids = ids.tolist()
+        out: list[list[list[int]]] = [[] for _ in pieces]
+        at = 0
+        for (k, _), end in zip(leaves, ends, strict=True):
+            out[k].append(ids[at:end])
+            at = end
+        return [self.joined(parts) for parts in out]
+
+    def pre_tokens(self, words: list[str]) -> list[list[str]]:
+        """Of each run without white space: normalizing and splitting never look across white space."""
+        text = unicodedata.normalize("NFC", " ".join(words)).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        out: list[list[str]] = [[]]
+        for piece in _PRE_TOKEN.findall(text):
+            if piece == " ":
+                out.append([])
+            else:
+                out[-1].append(piece)
+        return out[: len(words)]
 
     def words(self, text: str) -> list[str]:
         """The text's runs without white space, and its special strings as they are."""
@@ -153,28 +183,40 @@ class WordBpe:
         return [w for w in _WHITE_RUN.split(text) if w] if _ODD.search(text) else text.split()
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for w in self.words(text or "") for i in ([self.special[w]] if w in self.special else self.encode_word(w))]
+        words = self.words(text or "")
+        return [i for w, pieces in zip(words, self.pre_tokens(words), strict=True) for i in ([self.special[w]] if w in self.special else [i for ids in self.encode_pieces(pieces) for i in ids])]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so the tokens stand as they are, a space between them."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
-    def entry(self, word: str) -> tuple[int, str, str]:
-        ids = [self.special[word]] if word in self.special else self.encode_word(word)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join([self.decimal[i] for i in ids]), self.decode(ids)
 
 
 @functools.cache
-def _model(path: str) -> tuple[WordBpe, Memo]:
-    return WordBpe(path), Memo(100_000)
+def _model(path: str) -> tuple[WordBpe, Memo, Memo]:
+    return WordBpe(path), Memo(80_000), Memo(80_000)
 
 
 def _looked_up(path: str, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
-    """For each text the entries of its words that have any token."""
-    model, memo = _model(path)
+    """For each text the entries of its words that have any token: words are kept, and the pre-tokens that new words are made of."""
+    model, memo, made = _model(path)
     split = [model.words(text) if text else [] for text in texts]
     memo.room()
-    memo.update((w, model.entry(w)) for w in memo.missing(set().union(*split)))
+    made.room()
+    new = memo.missing(set().union(*split))
+    pieces = model.pre_tokens(new)
+    fresh = made.missing({p for own in pieces for p in own})
+    made.update(zip(fresh, map(model.entry, model.encode_pieces(fresh)), strict=True))
+    for word, own in zip(new, pieces, strict=True):
+        if word in model.special:
+            memo[word] = model.entry([model.special[word]])
+        elif len(own) == 1:
+            memo[word] = made[own[0]]
+        else:
+            parts = [made[p] for p in own]
+            memo[word] = (sum([e[0] for e in parts]), " ".join([e[1] for e in parts]), " ".join([e[2] for e in parts]))
     return [[e for e in map(memo.__getitem__, words) if e[0]] for words in split]
 
 

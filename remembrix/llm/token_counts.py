@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, table, text_udf
+from .ragged import Pairs, merge_ragged
 
 SPACE = "▁"
 #: Symbols from which on a pre-token is merged by a queue: rounds over it would cost its length squared.
 LONG = 512
-NEVER = np.int64(1) << 62
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -52,19 +52,8 @@ class PieceVocabulary:
             for cut in range(1, len(piece)):
                 left, right = self.symbols.get(piece[:cut]), self.symbols.get(piece[cut:])
                 if left is not None and right is not None:
-                    pairs[left * len(self.symbols) + right] = (order[score], self.symbols[piece])
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
-
-    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NEVER: no such pair) and merged symbol of each pair; ids below 0 pair with nothing."""
-        key = np.where((left < 0) | (right < 0), -1, left * len(self.symbols) + right)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == key
-        return np.where(known, self.ranks[at], NEVER), self.made[at]
+                    pairs[left, right] = (order[score], self.symbols[piece])
+        self.pairs, self.look = pairs, Pairs(pairs)
 
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -80,52 +69,23 @@ class PieceVocabulary:
         flat = "".join(words[i] for i in short)
         get = self.symbols.get
         symbol = np.array([get(c, -1) for c in flat], np.int64)
-        # a character that is in no piece is worth its bytes from the start
-        weight = np.where(symbol >= 0, self.weight[symbol], 0)
-        for j in np.nonzero(symbol < 0)[0].tolist():
-            weight[j] = len(flat[j].encode("utf-8", "surrogatepass"))
         owner = np.repeat(np.array(short), [len(words[i]) for i in short])
-        rank, made = self.look(symbol[:-1], symbol[1:])
-        rank, made = np.append(rank, NEVER), np.append(made, 0)
-        rank[:-1][owner[1:] != owner[:-1]] = NEVER
-        while len(symbol):
-            starts = np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0]
-            sizes = np.diff(np.r_[starts, len(owner)])
-            lowest = np.minimum.reduceat(rank, starts)
-            ended = lowest == NEVER
-            if ended.any():
-                gone = np.repeat(ended, sizes)
-                out += np.bincount(owner[gone], weights=weight[gone], minlength=len(out)).astype(np.int64)
-                stay = ~gone
-                symbol, owner, rank, made, weight = symbol[stay], owner[stay], rank[stay], made[stay], weight[stay]
-                lowest, sizes = lowest[~ended], sizes[~ended]
-                if not len(symbol):
-                    break
-            hit = np.nonzero(rank == np.repeat(lowest, sizes))[0]
-            left = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]  # the leftmost of each sequence
-            symbol[left] = made[left]
-            weight[left] = self.weight[made[left]]
-            keep = np.ones(len(symbol), bool)
-            keep[left + 1] = False
-            left = left - np.arange(len(left))  # where they are once the right halves have gone
-            symbol, owner, rank, made, weight = symbol[keep], owner[keep], rank[keep], made[keep], weight[keep]
-            for at in (left, left[left > 0] - 1):
-                rank[at] = NEVER
-                at = at[(at + 1 < len(symbol))]
-                at = at[owner[at] == owner[at + 1]]
-                rank[at], made[at] = self.look(symbol[at], symbol[at + 1])
+        left, place = merge_ragged(symbol, owner, self.look)
+        weight = self.weight[left]  # of a character that is in no piece, its bytes
+        for j in np.nonzero(left < 0)[0].tolist():
+            weight[j] = len(flat[place[j]].encode("utf-8", "surrogatepass"))
+        out += np.bincount(owner[place], weights=weight, minlength=len(out)).astype(np.int64)
         return out
 
     def count_long(self, word: str) -> int:
         """The same by a priority queue over a linked list: for pre-tokens of any length."""
-        n = len(self.symbols)
         symbol = [self.symbols.get(c, -1) for c in word]
         weight = [1 if s >= 0 and self.weight[s] == 1 else len(c.encode("utf-8", "surrogatepass")) for c, s in zip(word, symbol, strict=True)]
         before, after = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
         queue: list[tuple[int, int, int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and symbol[i] >= 0 and symbol[j] >= 0 and (hit := self.pairs.get(symbol[i] * n + symbol[j])):
+            if i >= 0 and j >= 0 and symbol[i] >= 0 and symbol[j] >= 0 and (hit := self.pairs.get((symbol[i], symbol[j]))):
                 heapq.heappush(queue, (hit[0], i, symbol[i], symbol[j], hit[1]))
 
         for i in range(len(word) - 1):

@@ -36,7 +36,7 @@ def test_any_text(text):
 def test_tree_is_exact_whatever_the_leaf(word, leaf):
     data = word.encode()
     symbols = [*(MODEL.inner[b] for b in data[:-1]), MODEL.last[data[-1]]]
-    assert MODEL.tree(symbols, leaf) == MODEL.merge(symbols) == MODEL._merge_long(symbols)
+    assert MODEL.encode_pieces([word], leaf)[0] == MODEL.merge(symbols) == MODEL._merge_long(symbols)
 
 
 def test_long_unsplit_text():
