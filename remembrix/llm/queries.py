@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_bpe
 from .decontaminate import op6_decontaminate
 from .quality import op9_quality
+from .repeats import op4_repeats
 from .secrets import op5_secrets
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_transport": op1_transport,
         "op3_url_filter": op3_url_filter,
+        "op4_repeats": op4_repeats,
         "op5_secrets": op5_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op7_simhash": op7_simhash,
