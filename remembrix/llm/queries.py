@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontaminate import op6_decontaminate
+from .pii import op2_personal_data
 from .quality import op9_quality
 from .repeats import op4_repeats
 from .secrets import op5_secrets
@@ -20,6 +21,7 @@ from .url_filter import op3_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_transport": op1_transport,
+        "op2_personal_data": op2_personal_data,
         "op3_url_filter": op3_url_filter,
         "op4_repeats": op4_repeats,
         "op5_secrets": op5_secrets,
