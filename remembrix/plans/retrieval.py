@@ -451,3 +451,26 @@ def streaming_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     out = run_to_memory(evictions(stream.select("user_id", "event_id", "ts"), 20), f"evicted_{uuid.uuid4().hex}")
     return out.select("user_id", "evicted")
+
+
+_LEGACY_SQL = _global_sql(20).replace("round(r, 6) AS ppr FROM r20 WHERE r > 1e-5", "round(CASE WHEN id % 7 = 0 THEN 1.0 ELSE 0.3 END * (1 + 10 * r) * (0.5 + 0.5 * (id % 10) / 10.0), 6) AS score FROM r20")
+
+
+@query(_LEGACY_SQL)
+def legacy_recall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import legacy
+
+    e = edges(spark, sf_dir)
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    ranks = graph.global_pagerank(e, nodes, _seed_frame(spark).select("id"))
+    i = F.col("id")
+    return ranks.select("id", F.round(legacy.recall_score(i % 7 == 0, F.col("ppr"), i % 10 / 10.0), 6).alias("score"))
+
+
+@query()
+def legacy_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import legacy
+
+    e = edges(spark, sf_dir)
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return legacy.snapshot(nodes.select("id", (F.col("id") % 9 + 3).alias("words"), (F.col("id") % 10 / 10.0).alias("importance")), e, 200)
