@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, secrets
 from .bpe import op8_bpe
 from .decontaminate import op6_decontaminate
 from .pii import op2_personal_data
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.SQL}
+    return {"op5_secrets": secrets.SQL, "op6_decontaminate": decontaminate.SQL}

@@ -215,3 +215,40 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["kind"] < len(PATTERNS))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, PATTERNS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def _places_sql(kind: str, pattern: str, keep: str) -> str:
+    """Rows (doc_id, start, kind, end, run) of a pattern's matches."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, s AS start, {KINDS.index(kind)} AS kind, s + length(run) AS "end", run FROM (
+      SELECT doc_id, m[i] AS run, CAST(list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+      FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS m, regexp_split_to_array(text, '{quoted}') AS p FROM documents WHERE regexp_matches(text, '{quoted}')))) WHERE {keep}"""
+
+
+def _sql() -> str:
+    base = " UNION ALL ".join(_places_sql(k, p, f"length({f'''regexp_extract(run, '{p.replace(chr(39), chr(39) * 2)}', 2)''' if k == 'assign' else 'run'}) >= {LEAST[k]}") for k, p in PATTERNS.items())
+    alphabet = " ".join(f"WHEN translate(run, '{a}', '') = '' THEN '{a}'" for a in ALPHABETS.values())
+    classes = " ".join(f"WHEN length(run) <= {most} THEN {k}" for k, most in enumerate(CLASSES))
+    tail = lambda z: f"(ln(1 + exp(least(1.5976 * abs({z}) + 0.07056 * abs({z}) * abs({z}) * abs({z}), 700))) - ln(2))"
+    ninth = 2 / (9 * (PARTS - 1))
+    text = lambda where: f"coalesce((SELECT string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || \"end\", ',' ORDER BY start, kind) FROM spans s WHERE s.doc_id = d.doc_id{where}), '')"
+    count = lambda k: f"(SELECT count(*) FROM base b WHERE b.doc_id = d.doc_id AND kind = {k})"
+    return f"""
+WITH base AS MATERIALIZED ({base}),
+runs AS MATERIALIZED (SELECT *, CASE {classes} ELSE {len(CLASSES)} END AS class, regexp_matches(run, '{REFERENCE}') AS word, NOT regexp_matches(run, '{REFERENCE}') AND NOT regexp_matches(run, '^[0-9]+$') AS candidate, CASE {alphabet} ELSE '{ALPHABETS['base64url']}' END AS a
+  FROM ({_places_sql('random', RUN, 'true')}) r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r."end" AND r.start < b."end")),
+v AS (SELECT *, list_transform(range(1, length(run) + 1), lambda i: (strpos(a, run[i]) - 0.5::DOUBLE) / length(a)) AS v, CAST(length(run) AS DOUBLE) AS n FROM runs WHERE word OR candidate),
+m AS (SELECT *, list_sum(list_transform(range(0, {PARTS}), lambda k: pow(len(list_filter(v, lambda x: floor(x * {PARTS}) = k)) - n / {PARTS}, 2))) / (n / {PARTS}) AS chi, CAST(len(list_filter(v, lambda x: x >= 0.5)) AS DOUBLE) AS high,
+  1 + len(list_filter(range(1, len(v)), lambda i: (v[i] >= 0.5) <> (v[i + 1] >= 0.5))) AS r, list_sum(v) / n AS mean FROM v),
+t AS (SELECT *, greatest((pow(chi / {PARTS - 1}, 1.0::DOUBLE / 3) - {1 - ninth!r}) / {ninth**0.5!r}, 0) AS cube, 2 * high * (n - high) / n + 1 AS expected, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS var, list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))) AS cross_ FROM m),
+h AS (SELECT *, {tail('cube')} + CASE WHEN expected > 2 THEN {tail('((r - expected) / sqrt((expected - 1) * (expected - 2) / (n - 1)))')} ELSE (n - 1) * ln(2) END + CASE WHEN var > 0 THEN {tail('((cross_ / var + 1 / n) * sqrt(n))')} ELSE (n - 1) * ln(2) END AS half FROM t),
+binned AS MATERIALIZED (SELECT *, least(CAST(floor((half - ln(1 + half + half * half / 2)) / {WIDTH}) AS BIGINT), {BINS - 1}) AS bin FROM h),
+grid AS (SELECT c AS class, b AS bin FROM range(0, {len(CLASSES) + 1}) x(c), range(0, {BINS}) y(b)),
+cum AS (SELECT g.class, g.bin, (SELECT count(*) FROM binned z WHERE z.word AND z.class <= g.class AND z.bin <= g.bin) AS w, (SELECT count(*) FROM binned z WHERE z.word AND z.class <= g.class) AS n, (SELECT count(*) FROM binned z WHERE z.candidate AND z.class = g.class AND z.bin <= g.bin) AS c, (SELECT count(*) FROM binned z WHERE z.candidate AND z.class = g.class) AS m FROM grid g),
+most AS (SELECT class, max(bin) AS bin FROM cum WHERE n > 0 AND c > 0 AND (w + 1) / (n + 1) <= {RATE} * c / m GROUP BY 1),
+spans AS (SELECT doc_id, start, kind, "end" FROM base UNION ALL SELECT z.doc_id, z.start, z.kind, z."end" FROM binned z JOIN most o ON o.class = z.class AND z.bin <= o.bin WHERE z.candidate)
+SELECT doc_id, {count(0)} AS n_assign, {count(1)} AS n_access, {count(2)} AS n_hex, sha256({text(f' AND kind < {len(PATTERNS)}')}) AS base_sha256, {text('')} AS spans FROM documents d"""
+
+
+#: The same rows in SQL; a table with equal ids on several rows is beyond it.
+SQL = _sql()
