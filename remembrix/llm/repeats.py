@@ -36,10 +36,10 @@ from .hashing import mixed, powers
 from .rindex import RunLengthIndex
 
 LENGTH, ANCHOR = 200, 48
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 17
 CROWD = 1500
 _PLACE_BITS = 24
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _CONTEXT = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("i", pa.int32()), ("n", pa.int32())])
 
 
@@ -69,7 +69,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 def contexts(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of one text: anchor hash, two hashes of the context, first window and number of windows."""
-    parts, step = [], 1 << 21
+    parts, step = [], _CHUNK
     # a long text in stretches that overlap by a window; the windows of an anchor may be cut there: the hashes say so
     for at in range(0, max(0, len(data) - LENGTH + 1), step):
         parts.append((at, data[at : at + step + LENGTH - 1]))
@@ -154,15 +154,23 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _slices(packs: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
-    out = []
-    for pack, i, n in zip(packs.to_pylist(), starts.to_pylist(), sizes.to_pylist(), strict=True):
-        data = _unpacked(pack)
-        out.append([data[a : a + k - 1 + LENGTH] for a, k in zip(i, n, strict=True)])
-    return pa.array(out, pa.list_(pa.binary()))
+_CUT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("a", pa.int64()), ("times", pa.int64()), ("kinds", pa.int64()), ("i", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+_CUT_ROWS = 1000
 
 
-_slices.__annotations__ = {"packs": pa.Array, "starts": pa.Array, "sizes": pa.Array, "return": pa.Array}
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts that each compressed text holds, a row for each, in small batches."""
+    rows: list[dict] = []
+    for batch in batches:
+        for k in range(len(batch)):
+            doc_id, mark, pack, held = (x[0] for x in batch.slice(k, 1).to_pydict().values())
+            data = _unpacked(pack)
+            rows += [{"doc_id": doc_id, "mark": mark, "bytes": data[h["i"] : h["i"] + h["n"] - 1 + LENGTH], **h} for h in held]
+            if len(rows) >= _CUT_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, _CUT)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _CUT)
 
 
 def _kept(packs: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
@@ -254,10 +262,8 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd
     places = need.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "times", "kinds", "i", "n")).alias("held"))
     packs = rows.select("doc_id", "mark", packed(F.col("text")).alias("pack"))
     one = packs.join(places, packs["doc_id"].eqNullSafe(places["doc_id"]) & (packs["mark"] == places["mark"])).select(places["doc_id"], places["mark"], "pack", "held")
-    cut_out = F.arrow_udf(_slices, returnType="array<binary>")("pack", "held.i", "held.n")
-    rowed = one.select("doc_id", "mark", "held", cut_out.alias("bytes")).select("doc_id", "mark", F.explode(F.arrays_zip("held", "bytes")).alias("z"))
     # equal rows give a context twice
-    texts = rowed.select("doc_id", "mark", "z.held.*", "z.bytes").dropDuplicates(["doc_id", "mark", "i"])
+    texts = one.mapInArrow(_slices, "doc_id bigint, mark bigint, a bigint, times bigint, kinds bigint, i int, n int, bytes binary").dropDuplicates(["doc_id", "mark", "i"])
     texts = stored(texts)
     few, many = texts.filter(F.col("kinds") <= crowd), texts.filter(F.col("kinds") > crowd)
     few = few.repartition("a").sortWithinPartitions("a", "doc_id", "mark", "i").select("a", "doc_id", "mark", "i", "n", "bytes", "times")
