@@ -90,7 +90,7 @@ def test_hypervectors(spark):
 
 def test_selection_and_verdict(spark):
     row = lambda s, tags=(), tokens=10: {"score": s, "tags": tags, "tokens": tokens, "recency": 0, "fresh": False}
-    assert ranking.select_diverse([row(3, ("a",)), row(2.9, ("a",)), row(2.5, ("b",))], 100, 0.7) == [0, 2, 1]
+    assert ranking.select_diverse([row(3, ("a",)), row(2.2, ("a",)), row(2.1, ("b",)), row(1, ("c",))], 100, 0.7) == [0, 2, 1, 3]
     assert ranking.select_diverse([row(3, tokens=500), row(2)], 100, 0.7) == [0]
     assert ranking.select_diverse([row(3), row(2, tokens=95), row(1, tokens=20)], 100, 1.0) == [0, 2]
     assert sum([10] * len(ranking.select_diverse([row(50 - i, (str(i),)) for i in range(50)], 100, 0.7))) <= 100
