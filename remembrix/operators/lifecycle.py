@@ -38,8 +38,8 @@ def forget_hard(memories: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[
 
 
 def merge(memories: DataFrame, new: DataFrame, old_ids: DataFrame) -> DataFrame:
-    """new (one row) added, and each of old_ids superseded by it."""
-    pairs = old_ids.select(F.col("id").alias("old")).crossJoin(F.broadcast(new.select(F.col("id").alias("new")).limit(1)))  # one row
+    """new (one row, whose id the driver reads) added, and each of old_ids superseded by it."""
+    pairs = old_ids.select(F.col("id").alias("old")).withColumn("new", F.lit(new.select("id").first()[0]).cast("bigint"))
     return supersede(memories, pairs).unionByName(new)
 
 
@@ -68,12 +68,27 @@ def bounded_buffer(entries: DataFrame, capacity: int, scope: str = "agent", orde
     return ranked.filter(F.col("_rn") <= capacity).drop("_rn"), ranked.filter(F.col("_rn") > capacity).drop("_rn")
 
 
+def _counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table."""
+    names = list(tables)
+    rows = None
+    for name, df in tables.items():
+        one = df.agg(*(F.count("*").alias(n) if n == name else F.lit(0).cast("bigint").alias(n) for n in names))
+        rows = one if rows is None else rows.union(one)
+    return rows.agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _with_counts(memories: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    own = memories.agg(F.count("*").alias("total"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"), *(F.lit(0).cast("bigint").alias(n) for n in tables))
+    zero = F.lit(0).cast("bigint")
+    rest = _counted(tables).select(zero.alias("total"), zero.alias("superseded"), zero.alias("tokens"), *tables)
+    both = own.union(rest)
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns)).withColumn("active", F.greatest(F.col("total") - F.col("superseded"), F.lit(0)))
+
+
 def store_stats(memories: DataFrame, edges: DataFrame) -> DataFrame:
-    n = edges.agg(F.count("*").alias("edges"))
-    own = memories.agg(F.count("*").alias("total"), F.count_if(F.col("superseded_by").isNotNull()).alias("superseded"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
-    return own.crossJoin(F.broadcast(n)).withColumn("active", F.greatest(F.col("total") - F.col("superseded"), F.lit(0)))  # a row each
+    return _with_counts(memories, {"edges": edges})
 
 
 def engine_stats(memories: DataFrame, edges: DataFrame, buffer: DataFrame, capacity: int) -> DataFrame:
-    held = buffer.agg(F.count("*").alias("buffer_size"))
-    return store_stats(memories, edges).crossJoin(F.broadcast(held)).withColumn("buffer_capacity", F.lit(capacity).cast("bigint"))  # a row each
+    return _with_counts(memories, {"edges": edges, "buffer_size": buffer}).withColumn("buffer_capacity", F.lit(capacity).cast("bigint"))

@@ -11,8 +11,12 @@ from ..operators.ranking import Knobs
 from ..schema import AS_OF
 
 
+#: Queries that go to each task at a time: about half a megabyte of vectors.
+MOST_QUERIES = 2048
+
+
 def similarities(queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """(query_id, id, fp): every query with every memory; queries (query_id, vector) are a few by contract and go to each task."""
+    """(query_id, id, fp): every query with every memory; queries (query_id, vector) are MOST_QUERIES at most, or a few more, and go to each task."""
     lanes = [F.col(f"v{k}") for k in range(hyper.LANES)]
     q = queries.select("query_id", *(F.get("vector", F.lit(k)).alias(f"q{k}") for k in range(hyper.LANES)))
     m = memories.select("id", *(F.get("vector", F.lit(k)).alias(f"v{k}") for k in range(hyper.LANES)))
@@ -58,7 +62,21 @@ def signals(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Kn
 
 
 def recall(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Knobs = Knobs(), as_of: int = AS_OF) -> DataFrame:
-    """The picks of each query in order (query_id, pick, id, score, verdict, intent)."""
+    """The picks of each query in order (query_id, pick, id, score, verdict, intent).
+
+    Queries beyond MOST_QUERIES are answered in blocks, as a block goes to each task.
+    """
+    blocks = -(-queries.count() // MOST_QUERIES)
+    if blocks > 1:
+        out = None
+        for k in range(blocks):
+            part = _recall_block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k), memories, edges, knobs, as_of)
+            out = part if out is None else out.union(part)
+        return out
+    return _recall_block(queries, memories, edges, knobs, as_of)
+
+
+def _recall_block(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Knobs, as_of: int) -> DataFrame:
     signalled = graph.kept(signals(queries, memories, edges, knobs, as_of))
     scored = ranking.fused(signalled, ("fp", "ppr", "term", "tag", "decay")).withColumn("score", F.col("score") + 0.05 * F.col("boost"))
     best = ranking.first_k(ranking.floored(scored), knobs.candidates, [F.desc("score"), F.desc("created_s"), F.col("id")])
