@@ -296,12 +296,12 @@ _PAIRS = f"{M}, pairs AS (SELECT x.id AS a, y.id AS b, x.kind AS ka, y.kind AS k
 
 @query(f"{_PAIRS} SELECT a, b, CAST(2 AS BIGINT) AS shared FROM pairs")
 def auto_link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidation.shared_tag_pairs(memories(spark, sf_dir).filter("id % 4 = 0"))
+    return consolidation.shared_tag_pairs(memories(spark, sf_dir))
 
 
 @query(f"{_PAIRS} SELECT a AS src, b AS dst, 'relates_to' AS kind FROM pairs UNION ALL SELECT b, a, 'relates_to' FROM pairs UNION ALL SELECT CASE WHEN ca < cb THEN a ELSE b END, CASE WHEN ca < cb THEN b ELSE a END, 'before' FROM pairs WHERE ka = 'event' AND kb = 'event' AND ca <> cb UNION ALL SELECT CASE WHEN ca < cb THEN b ELSE a END, CASE WHEN ca < cb THEN a ELSE b END, 'after' FROM pairs WHERE ka = 'event' AND kb = 'event' AND ca <> cb")
 def temporal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = memories(spark, sf_dir).filter("id % 4 = 0")
+    m = memories(spark, sf_dir)
     return consolidation.link_edges(consolidation.shared_tag_pairs(m), m)
 
 
