@@ -17,9 +17,9 @@ from .registry import query
 M, G = f"WITH RECURSIVE {MEMORIES_SQL}", f"WITH RECURSIVE {EDGES_SQL}"
 
 
-def _queries(spark: SparkSession, sf_dir: str, most: int = 10) -> DataFrame:
-    """The benchmark's first items are the queries: a fixed, stated set."""
-    return table(spark, sf_dir, "benchmark").filter(F.col("item_id") < most).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("text"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of the benchmark are the queries, with their whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _LEXICAL_SQL = f"""{M},
@@ -432,7 +432,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = memories(spark, sf_dir).filter("superseded_by IS NULL").select("id", text.words(F.col("text")).alias("words"))
     size = live.select("id", F.size("words").alias("n"))
     n, mean = size.agg(F.count("*"), F.avg("n")).first()
-    asked = F.broadcast(lexical.query_terms(_queries(spark, sf_dir)).select("query_id", "word"))  # ten short queries
+    asked = lexical.query_terms(_queries(spark, sf_dir)).select("query_id", "word")
     tf = live.select("id", F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("tf"))
     hits = tf.join(asked, "word")
     df = hits.groupBy("query_id", "word").agg(F.count("*").alias("df"))

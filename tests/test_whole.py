@@ -29,3 +29,23 @@ def test_all_memories_are_linked(spark):
             expected |= {(a, b, "before"), (b, a, "after")}
     got = [tuple(r) for r in plans.QUERIES["temporal_edges"](spark, SF).select("src", "dst", "kind").collect()]
     assert len(got) == len(expected) and {*got} == expected
+
+
+def same(spark, sql, name, *changes):
+    whole = plans.SQL[name]
+    for narrow, wide in changes:
+        whole = whole.replace(narrow, wide)
+    df = plans.QUERIES[name](spark, SF)
+    got = sql.execute(whole)
+    names = [d[0] for d in got.description]
+    assert rows([tuple(r) for r in df.collect()], df.columns) == rows(got.fetchall(), names)
+
+
+@pytest.mark.parametrize("name", ["doc_freq", "idf", "term_overlap", "tag_overlap", "intent", "minimum_slice", "rrf_fuse", "bm25_search"])
+def test_all_items_are_asked_with_their_whole_text(spark, sql, name):
+    same(spark, sql, name, ("left(text, 80) AS text", "text"), (" WHERE item_id < 10", ""))
+
+
+@pytest.mark.parametrize("name", ["mmr_pick", "recall_full"])
+def test_items_beyond_the_first_are_answered(spark, name):
+    assert plans.QUERIES[name](spark, SF).filter("query_id >= 10").count()
