@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 
 RRF_K = 60
+#: Rows that the driver looks at together in knapsack().
+STRETCH = 4096
 #: Values at or below which a signal gives no rank score.
 THRESHOLD = {"fp": -1.0, "ppr": 0.0, "term": 0.0, "tag": 0.0, "decay": 0.0}
 WEIGHT = {"fp": 1.0, "ppr": 1.0, "term": 1.0, "tag": 0.8, "decay": 1.0}
@@ -135,15 +137,24 @@ def keep_at_most(verdict: Column, top: Column, margin: Column, term: Column, kno
     return F.when(verdict == "confident", F.when(solo, 1).otherwise(knobs.confident)).when(verdict == "low_confidence", knobs.low).when(verdict == "ambiguous_leader", knobs.ambiguous).otherwise(0)
 
 
-def knapsack(costs: Column, budget: int, extra: int = 0) -> Column:
-    """Indices that fit when taken in order, skipping what doesn't."""
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("k"))
-
-    def step(s: Column, cost: Column) -> Column:
-        fits = s["used"] + cost + extra <= budget
-        return F.struct(F.when(fits, s["used"] + cost + extra).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], s["k"])).otherwise(s["kept"]).alias("kept"), (s["k"] + 1).alias("k"))
-
-    return F.aggregate(costs, start, step, lambda s: s["kept"])
+def knapsack(df: DataFrame, key: Column, cost: Column, budget: int) -> list[Row]:
+    """The rows that fit when taken in the order of key, skipping what doesn't; as rows of df and _key.
+
+    key: a struct, different in each row and without nulls. What is left of the budget only falls, so that a row that
+    doesn't fit never will: the driver takes STRETCH rows at a time, of those that come next and fit what is left by then.
+    """
+    rows = df.withColumns({"_key": key, "_cost": cost.cast("bigint")})
+    kinds = rows.schema["_key"].dataType.fields
+    left, part, out = budget, rows, []
+    while True:
+        got = part.filter(F.col("_cost") <= left).orderBy("_key").limit(STRETCH).collect()
+        for r in got:
+            if r["_cost"] <= left:
+                left -= r["_cost"]
+                out.append(r)
+        if len(got) < STRETCH:
+            return out
+        part = rows.filter(F.col("_key") > F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(got[-1]["_key"], kinds, strict=True))))
 
 
 __all__ = ["Knobs", "first_k", "floored", "fused", "keep_at_most", "keep_first", "knapsack", "pack", "recency_rank", "rrf", "select_diverse", "verdict"]

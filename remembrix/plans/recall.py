@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +64,18 @@ def signals(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Kn
     return out.withColumns({**zero, "decay": decay, "boost": event})
 
 
-def recall(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Knobs = Knobs(), as_of: int = AS_OF) -> DataFrame:
-    """The picks of each query in order (query_id, pick, id, score, verdict, intent).
-
-    Queries beyond MOST_QUERIES are answered in blocks, as a block goes to each task.
-    """
+def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(queries), for MOST_QUERIES or so at a time, as a block goes to each task. queries: query_id and more."""
     blocks = -(-queries.count() // MOST_QUERIES)
-    if blocks > 1:
-        out = None
-        for k in range(blocks):
-            part = _recall_block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k), memories, edges, knobs, as_of)
-            out = part if out is None else out.union(part)
-        return out
-    return _recall_block(queries, memories, edges, knobs, as_of)
+    if blocks <= 1:
+        return answer(queries)
+    parts = [answer(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)) for k in range(blocks)]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def recall(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Knobs = Knobs(), as_of: int = AS_OF) -> DataFrame:
+    """The picks of each query in order (query_id, pick, id, score, verdict, intent)."""
+    return in_blocks(queries, lambda part: _recall_block(part, memories, edges, knobs, as_of))
 
 
 def _recall_block(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Knobs, as_of: int) -> DataFrame:

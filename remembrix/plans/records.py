@@ -379,6 +379,7 @@ def hydrate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN k + 1 <= 40 THEN 1 ELSE 0 END AS fits FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part WHERE p_partkey <= 60)")
 def knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").filter("p_partkey <= 60").agg(F.array_sort(F.collect_list("p_partkey")).alias("ids"))
-    kept = rows.withColumn("kept", ranking.knapsack(F.transform("ids", lambda i: F.lit(2).cast("bigint")), 400, 8))
-    return kept.select(F.posexplode("ids").alias("k", "p_partkey"), "kept").select("p_partkey", F.array_contains("kept", F.col("k")).cast("int").alias("fits"))
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    kept = ranking.knapsack(parts, F.struct("p_partkey"), F.lit(2 + 8), 400)
+    found = F.broadcast(spark.createDataFrame([(r["p_partkey"], 1) for r in kept], "p_partkey bigint, fits int"))  # no more than fit the budget
+    return parts.join(found, "p_partkey", "left").select("p_partkey", F.coalesce("fits", F.lit(0)).alias("fits"))

@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalogue import SF, TABLES, rows
 
 from remembrix import plans
+from remembrix.operators import ranking
 from remembrix.schema import memories
 
 
@@ -49,3 +51,35 @@ def test_all_items_are_asked_with_their_whole_text(spark, sql, name):
 @pytest.mark.parametrize("name", ["mmr_pick", "recall_full"])
 def test_items_beyond_the_first_are_answered(spark, name):
     assert plans.QUERIES[name](spark, SF).filter("query_id >= 10").count()
+
+
+NODES = "(SELECT src FROM edg UNION SELECT dst FROM edg) t(s) WHERE s % 50 = 0"
+SEEDS = "(VALUES (1000005), (1000040), (2000003)) t(s)"
+
+
+@pytest.mark.parametrize(
+    ("name", "narrow", "wide"),
+    [
+        ("cosine_topk", "vec_id < 10", "vec_id % 50 = 0"),
+        ("hamming_topk", "c_custkey <= 3", "c_custkey % 50 = 0"),
+        ("knapsack", " WHERE p_partkey <= 60", ""),
+        ("k_hop", SEEDS, NODES),
+        ("ppr", SEEDS, NODES),
+        ("trajectory", "(VALUES (1000700), (1001401)) t(s)", NODES),
+    ],
+)
+def test_queries_and_seeds_grow_with_the_table(spark, sql, name, narrow, wide):
+    same(spark, sql, name, (narrow, wide))
+
+
+def test_knapsack_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "STRETCH", 3)
+    costs = [9, 40, 41, 42, 5, 30, 1, 7, 7, 2, 1, 8, 0]
+    left, expected = 30, []
+    for k, cost in enumerate(costs):
+        if cost <= left:
+            left -= cost
+            expected.append(k)
+    df = spark.createDataFrame(list(enumerate(costs)), "id bigint, cost bigint").repartition(3)
+    assert [r.id for r in ranking.knapsack(df, F.struct("id"), F.col("cost"), 30)] == expected
+    assert ranking.knapsack(df, F.struct("id"), F.col("cost"), -1) == []
