@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_catalogue import SF, TABLES, rows
 
 from remembrix import plans
-from remembrix.operators import ranking
+from remembrix.operators import graph, legacy, ranking
 from remembrix.schema import memories
 
 
@@ -83,3 +83,13 @@ def test_knapsack_in_stretches(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(costs)), "id bigint, cost bigint").repartition(3)
     assert [r.id for r in ranking.knapsack(df, F.struct("id"), F.col("cost"), 30)] == expected
     assert ranking.knapsack(df, F.struct("id"), F.col("cost"), -1) == []
+
+
+def test_snapshot_goes_on_past_long_rows(spark):
+    nodes = spark.createDataFrame([(i, 500 if i < 60 else 6, 1.0 if i < 60 else 0.1) for i in range(100)], "id bigint, words bigint, importance double")
+    edges = spark.createDataFrame([(i, i + 1, "supports", i) for i in range(99)], "src bigint, dst bigint, kind string, seq bigint")
+    got = legacy.snapshot(nodes, edges, 50).collect()
+    ranks = {r.id: r.ppr for r in graph.global_pagerank(edges, nodes, nodes.filter("id < 50").select("id")).collect()}
+    order = sorted(range(100), key=lambda i: (-ranks[i] * (1.0 if i < 60 else 0.55), i))
+    expected = [(i, order.index(i)) for i in order if i >= 60][:4]
+    assert sorted((r.place, r.id) for r in got) == sorted((p, i) for i, p in expected)
