@@ -14,7 +14,6 @@ equal values; only the text column is read, so that further columns and their na
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 import re
@@ -65,6 +64,7 @@ class WordBpe:
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         self.look = Pairs(self.merges)
         self.decimal = [str(i) for i in range(max(self.tokens) + 1)]
+        self.named = {str(i): token for i, token in self.tokens.items()}
         #: The byte symbols that a token is made of.
         self.parts = {i: (i,) for i in (*self.inner, *self.last)}
         for (a, b), (_, new) in self.merges.items():
@@ -190,8 +190,12 @@ class WordBpe:
         """The file names no decoder, so the tokens stand as they are, a space between them."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
-    def entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join([self.decimal[i] for i in ids]), self.decode(ids)
+    def decode_decimals(self, ids: str | None) -> str:
+        """The same of ids written in decimals, with one space between them."""
+        return " ".join(map(self.named.__getitem__, ids.split(" "))) if ids else ""
+
+    def entry(self, ids: list[int]) -> tuple[int, str]:
+        return len(ids), " ".join([self.decimal[i] for i in ids])
 
 
 @functools.cache
@@ -199,7 +203,7 @@ def _model(path: str) -> tuple[WordBpe, Memo, Memo]:
     return WordBpe(path), Memo(80_000), Memo(80_000)
 
 
-def _looked_up(path: str, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
+def _looked_up(path: str, texts: list[str | None]) -> list[list[tuple[int, str]]]:
     """For each text the entries of its words that have any token: words are kept, and the pre-tokens that new words are made of."""
     model, memo, made = _model(path)
     split = [model.words(text) if text else [] for text in texts]
@@ -216,7 +220,7 @@ def _looked_up(path: str, texts: list[str | None]) -> list[list[tuple[int, str,
             memo[word] = made[own[0]]
         else:
             parts = [made[p] for p in own]
-            memo[word] = (sum([e[0] for e in parts]), " ".join([e[1] for e in parts]), " ".join([e[2] for e in parts]))
+            memo[word] = (sum([e[0] for e in parts]), " ".join([e[1] for e in parts]))
     return [[e for e in map(memo.__getitem__, words) if e[0]] for words in split]
 
 
@@ -235,24 +239,20 @@ def decoder(path: str):
 
     @text_udf("string")
     def decode(ids: list[str | None]) -> list[str]:
-        model, _ = _model(path)
-        return [model.decode([int(i) for i in x.split(" ")]) if x else "" for x in ids]
+        model = _model(path)[0]
+        return [model.decode_decimals(x) for x in ids]
 
     return decode
 
 
-def digester(path: str):
-    """A function on a text column: the number of ids, and the SHA-256 of ids and of decoded text."""
+def writer(path: str):
+    """A function on a text column: the number of ids, and the ids in decimals with one space between them."""
 
-    @text_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: list[str | None]) -> list[dict]:
-        out = []
-        for entries in _looked_up(path, texts):
-            ids, decoded = " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries])
-            out.append({"n_tokens": sum([e[0] for e in entries]), "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()})
-        return out
+    @text_udf("n_tokens bigint, ids string")
+    def write(texts: list[str | None]) -> list[dict]:
+        return [{"n_tokens": sum([e[0] for e in entries]), "ids": " ".join([e[1] for e in entries])} for entries in _looked_up(path, texts)]
 
-    return digest
+    return write
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -260,6 +260,14 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     return df.withColumn(out, encoder(path)(F.col(text)))
 
 
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the text that each array of ids decodes to; a column named out is replaced."""
+    return df.withColumn(out, decoder(path)(F.array_join(F.col(ids).cast("array<string>"), " ")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", digester(public_tokenizers.path("word_bpe_49k.json"))(F.col("text")).alias("made"))
-    return docs.select("doc_id", "made.n_tokens", "made.ids_sha256", "made.decoded_sha256")
+    """Number and SHA-256 of the ids, and the SHA-256 of what these ids decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = table(spark, sf_dir, "documents").select("doc_id", writer(path)(F.col("text")).alias("made"))
+    both = made.withColumn("decoded", decoder(path)(F.col("made.ids")))
+    return both.select("doc_id", "made.n_tokens", F.sha2("made.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -59,3 +59,12 @@ def test_nulls_repeats_and_clashes(spark):
     got = bpe.encode(df, PATH).collect()
     assert sorted((str(r.doc_id), r.ids) for r in got) == sorted([("1", brute("a b")[0])] * 2 + [("2", []), ("None", [])])
     assert bpe.encode(df.limit(0), PATH).collect() == []
+
+
+def test_decoder(spark):
+    texts = [None, "", "<|endoftext|>a<|startoftext|>b", "Hello World's", "é日本😀", "<|endoftext|>"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, decoded string")
+    got = bpe.decode(bpe.encode(df, PATH), PATH).orderBy("doc_id").collect()
+    assert [r.decoded for r in got] == [brute(t or "")[1] for t in texts]
+    decimals = spark.createDataFrame([(None,), ("",), (" ".join(map(str, brute(texts[2])[0])),)], "ids string").coalesce(1)
+    assert [r[0] for r in decimals.select(bpe.decoder(PATH)("ids")).collect()] == ["", "", brute(texts[2])[1]]

@@ -74,3 +74,8 @@ def test_empty_table_and_nulls(spark):
     rows = {name: stage(spark, odd, sf_dir).collect() for name, stage in corpus_pipeline.STAGES}
     assert [len(r) for r in rows.values()][1:] == [1, 3, 3, 3]
     assert quality.ACCEPT == 0.7
+
+
+def test_encoding_is_decoded(stages):
+    texts = {r.doc_id: r.text for r in stages[4]}
+    assert all(r.decoded == bpe_brute(texts[r.doc_id])[1] for r in stages[5])
