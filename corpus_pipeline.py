@@ -25,15 +25,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id. Rows that repeat its id go too."""
-    found = simhash.near_duplicates(docs)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS) if _repeated_ids(docs) else kept.select(*COLUMNS)
-
-
-def _repeated_ids(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    """One row of each group of near-duplicates: that with the least id, and of those that with the least hash of the row."""
+    # a null leaves xxhash64 as it was, so that the places of nulls are hashed too
+    row = F.xxhash64(*COLUMNS, *(F.isnull(c) for c in COLUMNS))
+    keys = common.cut(docs.select("doc_id", row.alias("row"), simhash.fingerprint(F.col("text")).alias("fp")))
+    found = keys.join(simhash.classes(keys).select("fp", "root"), "fp").groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
+    key = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
+    found = common.cut(found.join(found.groupBy("root").agg(F.min(key).alias("best")), "root").select("doc_id", "row", "n", (key == F.col("best")).alias("kept")))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row"))
+    rest = docs.withColumn("_hash", row)
+    rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone["_doc_id"]) & (rest["_hash"] == gone["_row"]), "left_anti")
+    copies = not found.filter("kept AND n > 1").isEmpty()
+    return (rest.dropDuplicates(["doc_id", "_hash"]) if copies else rest).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

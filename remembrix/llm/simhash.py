@@ -104,16 +104,20 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (fingerprint as a signed long) and component_id of each row."""
-    rows = cut(df.select(F.col(id_column).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
+def classes(rows: DataFrame) -> DataFrame:
+    """fp, root (the component's name) and component_id of each fingerprint in rows (doc_id, fp)."""
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp")))
     named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp (fingerprint as a signed long) and component_id of each row."""
+    rows = cut(df.select(F.col(id_column).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
+    return rows.join(classes(rows).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,13 @@ def test_empty_table_and_nulls(spark):
 def test_encoding_is_decoded(stages):
     texts = {r.doc_id: r.text for r in stages[4]}
     assert all(r.decoded == bpe_brute(texts[r.doc_id])[1] for r in stages[5])
+
+
+def test_dedup_by_rows_not_ids(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(40)) for name in "xyzuvw"}
+    y = texts["y"]
+    made = [(5, texts["x"]), (5, y), (3, y), (None, texts["z"]), (None, texts["u"]), (None, texts["v"]), (None, texts["v"]), (7, texts["w"]), (None, texts["w"]), (9, y), (5, texts["x"])]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+    expected = [(5, "x"), (3, "y"), (None, "z"), (None, "u"), (None, "v"), (7, "w")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(repr((i, texts[t])) for i, t in expected)
