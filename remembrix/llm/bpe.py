@@ -21,23 +21,28 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table, text_udf
+from .common import table, text_udf
+from .hashing import mixed, powers
 from .ragged import Pairs, merge_ragged
 
 #: White space of Unicode, as the normalizer's and the pattern's \s have it.
 WHITE = "\t-\r \x85\xa0  -     　"
-#: What str.split() takes for white space beyond that.
-_ODD = re.compile("[\x1c-\x1f]")
-_WHITE_RUN = re.compile(f"[{WHITE}]+")
-_PRE_TOKEN = regex.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+#: What a character is for pre-tokens, which are runs of letters, single numbers, or runs of the rest.
+_WHITE, _LETTER, _NUMBER, _OTHER = range(4)
 #: Symbols of a leaf; a longer pre-token is a tree.
 LEAF = 16
 #: Tokens on each side of a seam that are encoded again at first.
 WINDOW = 2
+#: Characters of a pre-token up to which its encoding is kept for the next batch, and ids that are kept at most.
+SHORT, KEPT = 64, 1 << 20
+#: Ids that are turned into text at a time.
+DECODED = 1 << 18
 
 
 def _byte_characters() -> list[str]:
@@ -47,6 +52,45 @@ def _byte_characters() -> list[str]:
     return [chr(b if b in printable else next(beyond)) for b in range(256)]
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, _OTHER, np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, f"[{WHITE}]+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def _normalized(text: str) -> str:
+    """NFC, then lower case letter by letter (no final sigma)."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def pre_token_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens in code points that end with two white ones."""
+    kind = _kinds()[codes]
+    first = np.r_[True, kind[1:] != kind[:-1]] | (kind == _NUMBER)
+    # an apostrophe that begins a run of its kind takes s, t, m, d, re, ve or ll with it
+    at = np.nonzero((codes == 39) & first)[0]
+    x, y = codes[np.minimum(at + 1, len(codes) - 1)], codes[np.minimum(at + 2, len(codes) - 1)]
+    one = np.isin(x, list(map(ord, "stmd")))
+    two = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+    size = np.where(one, 2, 3)[one | two]
+    at = at[one | two]
+    first[at + 1] = False
+    first[at + size] = True
+    begins = np.nonzero(first)[0]
+    ends = np.r_[begins[1:], len(codes)]
+    real = kind[begins] != _WHITE
+    return begins[real], ends[real]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[k], starts[k] + 1, ... of each k, sizes[k] of them."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class WordBpe:
     """BPE whose words end in a suffix, from a tokenizers file of normalized, byte-level words."""
 
@@ -61,14 +105,21 @@ class WordBpe:
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         letters, end = _byte_characters(), model["end_of_word_suffix"]
         self.inner, self.last = [vocab[c] for c in letters], [vocab[c + end] for c in letters]
+        self.inner_of, self.last_of = np.array(self.inner), np.array(self.last)
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         self.look = Pairs(self.merges)
-        self.decimal = [str(i) for i in range(max(self.tokens) + 1)]
-        self.named = {str(i): token for i, token in self.tokens.items()}
+        self.named = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
         #: The byte symbols that a token is made of.
         self.parts = {i: (i,) for i in (*self.inner, *self.last)}
         for (a, b), (_, new) in self.merges.items():
             self.parts[new] = self.parts[a] + self.parts[b]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop what is kept of encoded pre-tokens. By place: hash for checks, first of the ids, number of ids; the first places are the special tokens'."""
+        ids = np.array(list(self.special.values()), np.int64)
+        self.places: dict[int, int] = {}
+        self.checks, self.firsts, self.sizes, self.flat = np.zeros(len(ids), np.uint64), np.arange(len(ids)), np.ones(len(ids), np.int64), ids
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Plain BPE: the lowest-rank pair first, the leftmost one on ties."""
@@ -157,102 +208,149 @@ class WordBpe:
             at = end
         return [self.joined(parts) for parts in out]
 
-    def pre_tokens(self, words: list[str]) -> list[list[str]]:
-        """Of each run without white space: normalizing and splitting never look across white space."""
-        text = unicodedata.normalize("NFC", " ".join(words)).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        out: list[list[str]] = [[]]
-        for piece in _PRE_TOKEN.findall(text):
-            if piece == " ":
-                out.append([])
-            else:
-                out[-1].append(piece)
-        return out[: len(words)]
-
-    def words(self, text: str) -> list[str]:
-        """The text's runs without white space, and its special strings as they are."""
-        if "<|" not in text or not self.split_special.search(text):
-            return self._words(text)
-        out, at = [], 0
-        for m in self.split_special.finditer(text):
-            out += [*self._words(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + self._words(text[at:])
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        return [w for w in _WHITE_RUN.split(text) if w] if _ODD.search(text) else text.split()
+    def _encode_slices(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that are slices of UTF-8 bytes, one after the other, and how many each has."""
+        sizes = ends - begins
+        tree = sizes > LEAF
+        small, at = np.nonzero(~tree)[0], _spread(begins[~tree], sizes[~tree])
+        symbols = self.inner_of[data[at]]
+        symbols[np.cumsum(sizes[~tree]) - 1] = self.last_of[data[ends[~tree] - 1]]
+        owner = np.repeat(small, sizes[~tree])
+        ids, place = merge_ragged(symbols, owner, self.look)
+        counts = np.bincount(owner[place], minlength=len(sizes))
+        if not tree.any():
+            return ids, counts
+        pieces = [data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(begins[tree].tolist(), ends[tree].tolist(), strict=True)]
+        made = self.encode_pieces(pieces)
+        counts[tree] = list(map(len, made))
+        out = np.zeros(counts.sum(), np.int64)
+        starts = np.cumsum(counts) - counts
+        out[_spread(starts[~tree], counts[~tree])] = ids
+        out[_spread(starts[tree], counts[tree])] = np.concatenate(made)
+        return out, counts
+
+    def _segments(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Normalized stretches between special strings, each one's text, and after which stretches a special token stands, and which."""
+        parts, owner, after, which = [], [], [], []
+        order = list(self.special)
+        for k, text in enumerate(texts):
+            at = 0
+            for m in self.split_special.finditer(text) if text and "<|" in text else ():
+                parts.append(_normalized(text[at : m.start()]))
+                owner.append(k)
+                after.append(len(parts) - 1)
+                which.append(order.index(m[0]))
+                at = m.end()
+            parts.append(_normalized((text or "")[at:]))
+            owner.append(k)
+        return parts, np.array(owner, np.int64), np.array(after, np.int64), np.array(which, np.int64)
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and how many each has. Pre-tokens are told apart by two 64-bit hashes."""
+        parts, owner, after, which = self._segments(texts)
+        joined = "\n".join(parts) + "\n\n"  # nothing looks across white space
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        begins, ends = pre_token_bounds(codes)
+        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        byte = np.r_[0, np.cumsum(width)]
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        keys = []
+        for k in range(2):
+            power, inverse = powers(len(codes), k)
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
+            keys.append(mixed((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64)))
+        if len(self.flat) > KEPT or len(self.places) > KEPT // 4:
+            self._forget()
+        short = np.nonzero(ends - begins <= SHORT)[0]
+        names, one, same = np.unique(keys[0][short], return_index=True, return_inverse=True)
+        get = self.places.get
+        named = names.tolist()
+        found = np.array([get(x, -1) for x in named], np.int64)
+        new = np.nonzero(found < 0)[0]
+        long = np.nonzero(ends - begins > SHORT)[0]
+        fresh = np.r_[short[one[new]], long]
+        ids, counts = self._encode_slices(data, byte[begins[fresh]], byte[ends[fresh]])
+        base, kept = len(self.firsts), len(new)
+        firsts = np.r_[self.firsts, len(self.flat) + np.cumsum(counts) - counts]
+        sizes, flat, checks = np.r_[self.sizes, counts], np.r_[self.flat, ids], np.r_[self.checks, keys[1][fresh]]
+        found[new] = base + np.arange(kept)
+        place = np.zeros(len(begins), np.int64)
+        place[short], place[long] = found[same], base + kept + np.arange(len(long))
+        if (checks[place] != keys[1]).any():  # two pre-tokens with the same first hash
+            self._forget()
+            return self._encode_apart(texts)
+        if kept:
+            self.places.update(zip([named[i] for i in new.tolist()], range(base, base + kept), strict=True))
+        end = base + kept
+        self.firsts, self.sizes, self.checks, self.flat = firsts[:end], sizes[:end], checks[:end], flat[: firsts[end - 1] + sizes[end - 1]]
+        # pre-tokens of each stretch, and the special tokens between stretches
+        bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        upto = np.searchsorted(begins, bounds)
+        of = owner[np.searchsorted(bounds, begins, "right") - 1]
+        place, of = np.insert(place, upto[after + 1], which), np.insert(of, upto[after + 1], owner[after])
+        amount = sizes[place]
+        return flat[_spread(firsts[place], amount)], np.bincount(of, weights=amount, minlength=len(texts)).astype(np.int64)
+
+    def _encode_apart(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts whose pre-tokens' hashes collide: pre-token by pre-token."""
+        ids, counts = [], []
+        for text in texts:
+            parts, _, after, which = self._segments([text])
+            special, own = dict(zip(after.tolist(), which.tolist(), strict=True)), []
+            for k, part in enumerate(parts):
+                codes = np.frombuffer(f"{part}\n\n".encode("utf-32-le", "surrogatepass"), "<u4")
+                pieces = [part[a:b] for a, b in zip(*(x.tolist() for x in pre_token_bounds(codes)), strict=True)]
+                own += [i for found in (self.encode_pieces(pieces) if pieces else ()) for i in found]
+                own += [list(self.special.values())[special[k]]] if k in special else []
+            ids += own
+            counts.append(len(own))
+        return np.array(ids, np.int64), np.array(counts, np.int64)
 
     def encode(self, text: str | None) -> list[int]:
-        words = self.words(text or "")
-        return [i for w, pieces in zip(words, self.pre_tokens(words), strict=True) for i in ([self.special[w]] if w in self.special else [i for ids in self.encode_pieces(pieces) for i in ids])]
-
-    def decode(self, ids: list[int]) -> str:
-        """The file names no decoder, so the tokens stand as they are, a space between them."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return self.encode_batch([text])[0].tolist()
 
-    def decode_decimals(self, ids: str | None) -> str:
-        """The same of ids written in decimals, with one space between them."""
-        return " ".join(map(self.named.__getitem__, ids.split(" "))) if ids else ""
+    def decode_batch(self, ids: pa.Array) -> pa.Array:
+        """The text of each array of ids: the file names no decoder, so the tokens stand as they are, a space between them."""
+        sizes = pc.fill_null(pc.list_value_length(ids), 0)
+        offsets = np.r_[0, np.cumsum(sizes.to_numpy(zero_copy_only=False))].astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), self.named.take(ids.flatten()))
+        return pc.binary_join(tokens, " ")
 
-    def entry(self, ids: list[int]) -> tuple[int, str]:
-        return len(ids), " ".join([self.decimal[i] for i in ids])
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_batch(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 @functools.cache
-def _model(path: str) -> tuple[WordBpe, Memo, Memo]:
-    return WordBpe(path), Memo(80_000), Memo(80_000)
-
-
-def _looked_up(path: str, texts: list[str | None]) -> list[list[tuple[int, str]]]:
-    """For each text the entries of its words that have any token: words are kept, and the pre-tokens that new words are made of."""
-    model, memo, made = _model(path)
-    split = [model.words(text) if text else [] for text in texts]
-    memo.room()
-    made.room()
-    new = memo.missing(set().union(*split))
-    pieces = model.pre_tokens(new)
-    fresh = made.missing({p for own in pieces for p in own})
-    made.update(zip(fresh, map(model.entry, model.encode_pieces(fresh)), strict=True))
-    for word, own in zip(new, pieces, strict=True):
-        if word in model.special:
-            memo[word] = model.entry([model.special[word]])
-        elif len(own) == 1:
-            memo[word] = made[own[0]]
-        else:
-            parts = [made[p] for p in own]
-            memo[word] = (sum([e[0] for e in parts]), " ".join([e[1] for e in parts]))
-    return [[e for e in map(memo.__getitem__, words) if e[0]] for words in split]
+def _model(path: str) -> WordBpe:
+    return WordBpe(path)
 
 
 def encoder(path: str):
     """A function on a text column: its ids under the tokenizers file at path (on each executor)."""
 
     @text_udf("array<int>")
-    def encode(texts: list[str | None]) -> list[list[int]]:
-        return [[int(i) for e in entries for i in e[1].split(" ")] for entries in _looked_up(path, texts)]
+    def encode(texts: list[str | None]) -> pa.Array:
+        ids, counts = _model(path).encode_batch(texts)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
 
     return encode
 
 
 def decoder(path: str):
-    """A function on a column of ids, written in decimals with one space between them: the decoded text."""
-
-    @text_udf("string")
-    def decode(ids: list[str | None]) -> list[str]:
-        model = _model(path)[0]
-        return [model.decode_decimals(x) for x in ids]
-
-    return decode
-
+    """A function on a column of arrays of ids: the decoded text, empty for null."""
 
-def writer(path: str):
-    """A function on a text column: the number of ids, and the ids in decimals with one space between them."""
-
-    @text_udf("n_tokens bigint, ids string")
-    def write(texts: list[str | None]) -> list[dict]:
-        return [{"n_tokens": sum([e[0] for e in entries]), "ids": " ".join([e[1] for e in entries])} for entries in _looked_up(path, texts)]
+    def decode(ids: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        out, at = [], 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
+            out.append(_model(path).decode_batch(ids.slice(at, to - at)))
+            at = to
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
-    return write
+    decode.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    return F.arrow_udf(decode, returnType="string")
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -262,12 +360,16 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text that each array of ids decodes to; a column named out is replaced."""
-    return df.withColumn(out, decoder(path)(F.array_join(F.col(ids).cast("array<string>"), " ")))
+    return df.withColumn(out, decoder(path)(F.col(ids)))
+
+
+def decimals(ids: Column) -> Column:
+    """Ids in decimals with one space between them."""
+    return F.array_join(ids.cast("array<string>"), " ")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and SHA-256 of the ids, and the SHA-256 of what these ids decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    made = table(spark, sf_dir, "documents").select("doc_id", writer(path)(F.col("text")).alias("made"))
-    both = made.withColumn("decoded", decoder(path)(F.col("made.ids")))
-    return both.select("doc_id", "made.n_tokens", F.sha2("made.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(decimals(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

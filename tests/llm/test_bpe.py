@@ -66,5 +66,31 @@ def test_decoder(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, decoded string")
     got = bpe.decode(bpe.encode(df, PATH), PATH).orderBy("doc_id").collect()
     assert [r.decoded for r in got] == [brute(t or "")[1] for t in texts]
-    decimals = spark.createDataFrame([(None,), ("",), (" ".join(map(str, brute(texts[2])[0])),)], "ids string").coalesce(1)
-    assert [r[0] for r in decimals.select(bpe.decoder(PATH)("ids")).collect()] == ["", "", brute(texts[2])[1]]
+    plain = spark.createDataFrame([(None,), ([],), (brute(texts[2])[0],)], "ids array<int>").coalesce(1)
+    assert [r[0] for r in plain.select(bpe.decoder(PATH)("ids")).collect()] == ["", "", brute(texts[2])[1]]
+
+
+def test_batch_and_what_is_kept(monkeypatch):
+    texts = [*CASES, None, "x" * 70, "<|endoftext|><|endoftext|>", *CASES]
+    expected = [brute(t or "")[0] for t in texts]
+
+    def split(model):
+        ids, counts = model.encode_batch(texts)
+        ends = counts.cumsum()
+        return [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)]
+
+    model = bpe.WordBpe(PATH)
+    assert split(model) == expected == split(model)
+    monkeypatch.setattr(bpe, "KEPT", 8)  # forget before each batch
+    assert split(model) == expected
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "mixed", lambda x: x & bpe.np.uint64(15))  # hashes that collide
+    assert split(bpe.WordBpe(PATH)) == expected
+    assert bpe.WordBpe(PATH).encode_batch([])[1].tolist() == []
+
+
+def test_decoding_of_slices():
+    ids = [brute(t)[0] for t in CASES]
+    array = bpe.pa.array([None, *ids], bpe.pa.list_(bpe.pa.int32()))
+    model = bpe.WordBpe(PATH)
+    assert [model.decode_batch(array.slice(i, 1))[0].as_py() or "" for i in range(len(array))] == ["", *(brute(t)[1] for t in CASES)]
