@@ -129,7 +129,7 @@ class MemoryEngine:
         reinforced = passed.filter("verdict <> 'novel'").select(F.col("neighbour").alias("id"))
         grown = lifecycle.touch(self.memories, reinforced, 0).select(self.memories.columns).withColumn("accessed_s", F.greatest("accessed_s", "created_s"))
         self.memories = graph.kept(grown.unionByName(novel.select(self.memories.columns)))
-        pairs = consolidation.shared_tag_pairs(self.memories.filter("superseded_by IS NULL"))
+        pairs = consolidation.shared_tag_pairs(novel, live)
         new = consolidation.link_edges(pairs, self.memories).withColumn("seq", F.lit(0).cast("bigint"))
         self.edges = graph.kept(graph.unique_edges(self.edges.unionByName(new)))
         return passed

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hyper import BITS
@@ -20,21 +20,63 @@ def verdict(similarity: Column, supersedes: Column) -> Column:
     return F.when(supersedes.isNotNull(), "novel").when(similarity >= REDUNDANT, "redundant").when(similarity >= REINFORCES, "reinforces").otherwise("novel")
 
 
-def shared_tag_pairs(memories: DataFrame, least: int = SHARED) -> DataFrame:
-    """(a, b, shared) with a < b: pairs of one agent that share least tags or more.
+def _tag_keys(tags: Column, least: int) -> Column:
+    """What two sets that share least tags have in common: pairs of tags, or tags if one is enough."""
+    if least < 2:
+        return tags
+    return F.flatten(F.transform(tags, lambda t, i: F.transform(F.slice(tags, i + 2, F.size(tags)), lambda u: F.concat_ws("\x00", t, u))))
 
-    Tags are paired first, so that memories meet only where they share a whole set of least tags.
+
+def classes(memories: DataFrame) -> DataFrame:
+    """memories with tags sorted and class_id, the least id with the same agent and tags."""
+    rows = memories.withColumn("tags", F.array_sort(F.array_distinct("tags")))
+    least = rows.groupBy(F.col("agent").alias("_agent"), F.col("tags").alias("_tags")).agg(F.min("id").alias("class_id"))
+    return rows.join(least, F.col("agent").eqNullSafe(F.col("_agent")) & (F.col("tags") == F.col("_tags"))).drop("_agent", "_tags")
+
+
+def class_pairs(classed: DataFrame, least: int = SHARED) -> DataFrame:
+    """(class_id, other): classes of one agent that share least tags or more, themselves included. classed: class_id, agent, tags."""
+    keyed = classed.select("class_id", "agent", "tags").dropDuplicates(["class_id"]).select("class_id", "agent", F.explode(_tag_keys(F.col("tags"), least)).alias("key"))
+    other = keyed.select(F.col("class_id").alias("other"), F.col("agent").alias("_agent"), F.col("key").alias("_key"))
+    return keyed.join(other, (F.col("key") == F.col("_key")) & F.col("agent").eqNullSafe(F.col("_agent"))).select("class_id", "other").distinct()
+
+
+#: Seconds of a stretch in which events are ordered together.
+_STRETCH = 86400
+
+
+def linked(memories: DataFrame, least: int = SHARED) -> DataFrame:
+    """id, class_id, and how many memories share least tags with it: linked, and of events those later (before) and earlier (after).
+
+    Equal memories are a class; classes meet, not their members, so that copies give no pairs.
+    """
+    rows = kept(classes(memories.select("id", "agent", "tags", "kind", "created_s")))
+    pairs = kept(class_pairs(rows, least))
+    sizes = rows.groupBy(F.col("class_id").alias("other")).agg(F.count("*").alias("n"))
+    links = pairs.join(sizes, "other").groupBy("class_id").agg((F.sum("n") - F.max((F.col("class_id") == F.col("other")).cast("int"))).alias("linked"))
+    events = rows.filter("kind = 'event'").groupBy(F.col("class_id").alias("other"), "created_s").agg(F.count("*").alias("n"))
+    times = pairs.join(events, "other").groupBy("class_id", "created_s").agg(F.sum("n").alias("n")).withColumn("part", F.floor(F.col("created_s") / _STRETCH))
+    parts = times.groupBy("class_id", "part").agg(F.sum("n").alias("s"))
+    by_class = Window.partitionBy("class_id")
+    parts = parts.select("class_id", "part", F.sum("s").over(by_class).alias("all"), (F.sum("s").over(by_class.orderBy("part")) - F.col("s")).alias("base"))
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy("class_id", "part").orderBy("created_s"))
+    times = times.join(parts, ["class_id", "part"]).select("class_id", "created_s", (F.col("all") - upto).alias("before"), (upto - F.col("n")).alias("after"))
+    found = rows.join(links, "class_id", "left").join(times, ["class_id", "created_s"], "left")
+    zero = F.lit(0).cast("bigint")
+    count = lambda c: F.when(F.col("kind") == "event", F.coalesce(c, zero)).otherwise(zero).alias(c)
+    return found.select("id", "class_id", F.coalesce("linked", zero).alias("linked"), count("before"), count("after"))
+
+
+def shared_tag_pairs(new: DataFrame, old: DataFrame, least: int = SHARED) -> DataFrame:
+    """(a, b, shared): memories of new and others of old (or of new with a greater id) of one agent that share least tags or more.
+
+    For the few memories that go in at a time; they meet only where they share a whole set of least tags.
     """
-    tags = memories.select("agent", "id", F.array_sort(F.array_distinct("tags")).alias("tags"))
-    if least == 2:
-        pairs = F.flatten(F.transform("tags", lambda t, i: F.transform(F.slice("tags", i + 2, F.size("tags")), lambda u: F.struct(t.alias("t"), u.alias("u")))))
-        keyed = tags.select("agent", "id", F.explode(pairs).alias("key"))
-    else:
-        keyed = tags.select("agent", "id", F.explode("tags").alias("key"))
-    a, b = keyed.select("agent", "key", F.col("id").alias("a")), keyed.select("agent", "key", F.col("id").alias("b"))
-    met = a.join(b, ["agent", "key"]).filter("a < b").select("agent", "a", "b").distinct()
-    one, two = tags.select(F.col("id").alias("a"), F.col("tags").alias("ta")), tags.select(F.col("id").alias("b"), F.col("tags").alias("tb"))
-    return met.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("shared")).filter(F.col("shared") >= least)
+    keyed = lambda df: df.select("agent", "id", F.array_sort(F.array_distinct("tags")).alias("tags")).withColumn("key", F.explode(_tag_keys(F.col("tags"), least)))
+    a, own = keyed(new).select("agent", "key", F.col("id").alias("a"), F.col("tags").alias("ta")), new.select(F.col("id").alias("b")).distinct().withColumn("own", F.lit(True))
+    b = keyed(old.unionByName(new)).select("agent", "key", F.col("id").alias("b"), F.col("tags").alias("tb")).join(own, "b", "left")
+    met = a.join(b, ["agent", "key"]).filter((F.col("a") != F.col("b")) & (F.col("own").isNull() | (F.col("a") < F.col("b"))))
+    return met.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("shared")).distinct().filter(F.col("shared") >= least)
 
 
 def link_edges(pairs: DataFrame, memories: DataFrame) -> DataFrame:

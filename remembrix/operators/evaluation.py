@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,15 +22,47 @@ def by_category(df: DataFrame, category: str, hit: str, leave_out: tuple[str, ..
     return each.union(total).withColumn("percent", F.when(F.col("total") > 0, F.col("hits") * 100.0 / F.col("total")).otherwise(0.0))
 
 
-def index_percentile(values: Column, p: float) -> Column:
-    """The value at index int(n * p) of the sorted ones, at most the last. values: an array."""
-    ordered = F.sort_array(values)
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * F.lit(p)), F.size(ordered) - 1).cast("int"))
+def _values_at(df: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Of each key the values at places (from 0, functions of the key's number of rows) in ascending order; nulls are left out.
+
+    Equal values are counted first, and a sketch of each key cuts its range in stretches, so that only the stretches
+    that hold a wanted place are ordered; no task gets the rows of a key together.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("_cuts"))
+    staged = counts.join(cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    by_key = Window.partitionBy(key)
+    parts = staged.groupBy(key, "_part").agg(F.sum("_c").alias("_s")).withColumn("_n", F.sum("_s").over(by_key))
+    parts = parts.withColumn("_to", F.sum("_s").over(by_key.orderBy("_part"))).withColumn("_from", F.col("_to") - F.col("_s"))
+    parts = parts.withColumns({f"_at_{name}": f(F.col("_n")).cast("bigint") for name, f in places.items()})
+    wanted = F.lit(False)
+    for name in places:
+        wanted = wanted | ((F.col(f"_at_{name}") >= F.col("_from")) & (F.col(f"_at_{name}") < F.col("_to")))
+    rows = staged.join(parts.filter(wanted).drop("_s", "_to"), [key, "_part"])
+    end = F.col("_from") + F.sum("_c").over(Window.partitionBy(key, "_part").orderBy(value))
+    rows = rows.withColumn("_end", end)
+    held = lambda name: (F.col(f"_at_{name}") < F.col("_end")) & (F.col(f"_at_{name}") >= F.col("_end") - F.col("_c"))
+    return rows.groupBy(key).agg(*(F.max(F.when(held(name), F.col(value))).alias(name) for name in places))
+
+
+def index_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Of each key the values at index int(n * share) of the sorted ones, at most the last; a share of 0.5 is the upper median."""
+    return _values_at(df, key, value, {name: lambda n, p=p: F.least(F.floor(n * F.lit(p)), n - 1) for name, p in shares.items()})
+
+
+def linear_percentile(df: DataFrame, key: str, value: str, share: float, out: str) -> DataFrame:
+    """Of each key the value at (n - 1) * share of the sorted ones, in a straight line between neighbours."""
+    place = lambda n: (n - 1) * F.lit(share)
+    low = _values_at(df, key, value, {"_low": lambda n: F.floor(place(n)), "_high": lambda n: F.ceil(place(n))})
+    count = df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    part = place(F.col("_n")) - F.floor(place(F.col("_n")))
+    return low.join(count, key).select(key, (F.col("_low") + part * (F.col("_high") - F.col("_low"))).alias(out))
 
 
-def upper_median(values: Column) -> Column:
-    ordered = F.sort_array(values)
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def judge_report(df: DataFrame, category: str, substring: str, judge: str) -> DataFrame:
+    """Of each category: tasks, mean substring score, mean judge score over those judged, and the lift between the two."""
+    out = df.groupBy(category).agg(F.count("*").alias("tasks"), F.count(judge).alias("judged"), F.avg(substring).alias("substring"), F.avg(judge).alias("judge"))
+    return out.withColumn("lift", F.col("judge") - F.col("substring"))
 
 
 def summary(df: DataFrame, score: str, tokens: str) -> DataFrame:

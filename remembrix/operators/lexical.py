@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
@@ -19,23 +19,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def term_hits(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(query_id, word, times, id): memories that hold a query word or a variant of it."""
-    wide = terms.select("query_id", "word", "times", F.explode(text.variants(F.col("word"))).alias("variant"))
-    return wide.join(words.withColumnRenamed("word", "variant"), "variant").select("query_id", "word", "times", "id").distinct()
+    """(word, id), each once: memories that hold a query word or a variant of it, whichever queries ask for it."""
+    wide = terms.select("word").distinct().select("word", F.explode(text.variants(F.col("word"))).alias("variant"))
+    return words.withColumnRenamed("word", "variant").join(wide, "variant").select("word", "id").distinct()
 
 
-def term_idf(terms: DataFrame, hits: DataFrame, n: int) -> DataFrame:
-    """(query_id, word, times, df, idf); a word that stands twice in its query counts its memories twice."""
-    df = hits.groupBy("query_id", "word").agg((F.count("*") * F.max("times")).alias("df"))
-    joined = terms.join(df, ["query_id", "word"], "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("bigint"))
-    return joined.withColumn("idf", scoring.idf(F.lit(n), F.col("df")))
+def term_idf(terms: DataFrame, hits: DataFrame, n: Column) -> DataFrame:
+    """(query_id, word, times, df, idf) for n memories; a word that stands twice in its query counts its memories twice."""
+    df = hits.groupBy("word").agg(F.count("*").alias("held"))
+    joined = terms.join(df, "word", "left").withColumn("df", (F.coalesce("held", F.lit(0)) * F.col("times")).cast("bigint"))
+    return joined.select("query_id", "word", "times", "df", scoring.idf(n, F.col("df")).alias("idf"))
 
 
 def term_overlap(weights: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, id, term): the share of the query's idf that a memory's words hold."""
-    total = weights.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("times")).alias("total"))
-    held = hits.select("query_id", "word", "id").join(weights, ["query_id", "word"]).groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("times")).alias("matched"))
-    return held.join(total, "query_id").select("query_id", "id", F.when(F.col("total") >= 1e-6, F.col("matched") / F.col("total")).otherwise(0.0).alias("term"))
+    total = F.sum(F.col("idf") * F.col("times")).over(Window.partitionBy("query_id"))
+    parts = weights.select("query_id", "word", (F.col("idf") * F.col("times")).alias("part"), total.alias("total"))
+    held = hits.join(parts, "word").groupBy("query_id", "id").agg(F.sum("part").alias("matched"), F.max("total").alias("total"))
+    return held.select("query_id", "id", F.when(F.col("total") >= 1e-6, F.col("matched") / F.col("total")).otherwise(0.0).alias("term"))
 
 
 def tag_words(memories: DataFrame, sources: str | None = None) -> DataFrame:

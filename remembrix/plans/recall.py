@@ -52,7 +52,7 @@ def signals(queries: DataFrame, memories: DataFrame, edges: DataFrame, knobs: Kn
     found = near.select("query_id", "id").union(ppr.select("query_id", "id")).distinct()
     terms = lexical.query_terms(queries)
     hits = lexical.term_hits(terms, lexical.postings(live))
-    weights = graph.kept(lexical.term_idf(terms, hits, live.count()))
+    weights = graph.kept(lexical.term_idf(terms, hits, live.agg(F.count("*")).scalar()))
     term, tag = lexical.term_overlap(weights, hits), lexical.tag_overlap(weights, lexical.tag_words(live))
     intents = weights.groupBy("query_id").agg(F.max("idf").alias("top")).join(queries.select("query_id", "text"), "query_id", "right").select("query_id", scoring.intent(F.col("text"), F.coalesce("top", F.lit(0.0))).alias("intent"))
     c = F.col

@@ -275,14 +275,14 @@ def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("conv_id", "turn", F.try_element_at(parts, F.lit("agent")).alias("agent"), F.try_element_at(parts, F.lit("user")).alias("user"), number("budget", 1).alias("budget"), number("limit", 100).alias("bad"))
 
 
-@query(f"{M} SELECT count(*) AS total, count(superseded_by) AS superseded, CAST(sum(token_count) AS BIGINT) AS tokens, (SELECT count(*) FROM customer) AS edges, count(*) - count(superseded_by) AS active FROM mem")
+@query(f"{M}, {EDGES_SQL} SELECT count(*) AS total, count(superseded_by) AS superseded, CAST(sum(token_count) AS BIGINT) AS tokens, (SELECT count(*) FROM edg) AS edges, count(*) - count(superseded_by) AS active FROM mem")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.store_stats(memories(spark, sf_dir), table(spark, sf_dir, "customer"))
+    return lifecycle.store_stats(memories(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query(f"{M} SELECT count(*) AS total, count(superseded_by) AS superseded, CAST(sum(token_count) AS BIGINT) AS tokens, (SELECT count(*) FROM customer) AS edges, count(*) - count(superseded_by) AS active, (SELECT count(*) FROM conversations) AS buffer_size, CAST(1024 AS BIGINT) AS buffer_capacity FROM mem")
+@query(f"{M}, {EDGES_SQL} SELECT count(*) AS total, count(superseded_by) AS superseded, CAST(sum(token_count) AS BIGINT) AS tokens, (SELECT count(*) FROM edg) AS edges, count(*) - count(superseded_by) AS active, (SELECT count(*) FROM conversations) AS buffer_size, CAST(1024 AS BIGINT) AS buffer_capacity FROM mem")
 def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.engine_stats(memories(spark, sf_dir), table(spark, sf_dir, "customer"), table(spark, sf_dir, "conversations"), 1024)
+    return lifecycle.engine_stats(memories(spark, sf_dir), edges(spark, sf_dir), table(spark, sf_dir, "conversations"), 1024)
 
 
 def _log_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,9 +377,11 @@ def hydrate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hydrate(edges(spark, sf_dir), nodes).select("src", "dst", "kind")
 
 
-@query("SELECT p_partkey, CASE WHEN k + 1 <= 40 THEN 1 ELSE 0 END AS fits FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part WHERE p_partkey <= 60)")
+@query("""WITH RECURSIVE row_ AS (SELECT p_partkey, p_size + 8 AS cost, row_number() OVER (ORDER BY p_partkey) AS k FROM part),
+fold AS (SELECT CAST(0 AS BIGINT) AS k, CAST(400 AS BIGINT) AS free, 0 AS fits UNION ALL SELECT r.k, CASE WHEN cost <= free THEN free - cost ELSE free END, CASE WHEN cost <= free THEN 1 ELSE 0 END FROM fold JOIN row_ r ON r.k = fold.k + 1)
+SELECT p_partkey, fits FROM row_ JOIN fold USING (k)""")
 def knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_partkey")
-    kept = ranking.knapsack(parts, F.struct("p_partkey"), F.lit(2 + 8), 400)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    kept = ranking.knapsack(parts, F.struct("p_partkey"), F.col("p_size") + 8, 400)
     found = F.broadcast(spark.createDataFrame([(r["p_partkey"], 1) for r in kept], "p_partkey bigint, fits int"))  # no more than fit the budget
     return parts.join(found, "p_partkey", "left").select("p_partkey", F.coalesce("fits", F.lit(0)).alias("fits"))

@@ -28,7 +28,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEXICAL_SQL = f"""{M},
 live AS (SELECT * FROM mem WHERE superseded_by IS NULL),
-qry AS (SELECT item_id AS query_id, left(text, 80) AS text FROM benchmark WHERE item_id < 10),
+qry AS (SELECT item_id AS query_id, text FROM benchmark),
 terms AS (SELECT query_id, word, count(*) AS times FROM (SELECT query_id, unnest({QUERY_WORDS_SQL.format('text')}) AS word FROM qry) GROUP BY 1, 2),
 post AS (SELECT DISTINCT id, word FROM (SELECT id, unnest({WORDS_SQL.format('text')}) AS word FROM live)),
 wide AS (SELECT query_id, word, times, word AS variant, 0 AS ord FROM terms
@@ -48,7 +48,7 @@ def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     live = memories(spark, sf_dir).filter("superseded_by IS NULL")
     terms = lexical.query_terms(_queries(spark, sf_dir))
     hits = lexical.term_hits(terms, lexical.postings(live))
-    return live, terms, hits, lexical.term_idf(terms, hits, live.count())
+    return live, terms, hits, lexical.term_idf(terms, hits, live.agg(F.count("*")).scalar())
 
 
 @query(f"{_LEXICAL_SQL} SELECT query_id, word, times, df FROM dfs")
@@ -145,7 +145,7 @@ def tag_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("id", F.round(text.jaccard(F.col("tags"), text.literals(("en", "src1"))), 6).alias("jaccard"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 10)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0)
 SELECT query_id, vec_id, round(sim, 6) AS cosine FROM (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS sim FROM embeddings, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
@@ -165,7 +165,7 @@ def _lanes_sql(token: str) -> str:
 _HAMMING = "list_sum(list_transform(range(1, 33), lambda i: bit_count(xor({0}[i], {1}[i]))))"
 
 
-@query(f"""WITH v AS MATERIALIZED (SELECT c_custkey, {_lanes_sql('c_name')} AS x FROM customer), q AS (SELECT c_custkey AS query_id, x AS y FROM v WHERE c_custkey <= 3)
+@query(f"""WITH v AS MATERIALIZED (SELECT c_custkey, {_lanes_sql('c_name')} AS x FROM customer), q AS (SELECT c_custkey AS query_id, x AS y FROM v WHERE c_custkey % 50 = 0)
 SELECT query_id, c_custkey, CAST(d AS BIGINT) AS distance FROM (SELECT query_id, c_custkey, {_HAMMING.format('x', 'y')} AS d FROM v, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, c_custkey) <= 5""")
 def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     # written out, or each pair makes its vectors anew
@@ -179,22 +179,31 @@ def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_blocks(asked, best)
 
 
-@query(f"""WITH v AS MATERIALIZED (SELECT n_nationkey, {_lanes_sql('n_name')} AS x, {_lanes_sql("('r' || n_regionkey)")} AS y FROM nation)
-SELECT n_nationkey, CAST({_HAMMING.format('x', 'y')} AS BIGINT) AS bound_bits, CAST(list_sum(list_transform(x, lambda l: bit_count(l))) AS BIGINT) AS bits, true AS unbound, true AS turned FROM v""")
+def _hex(vector: F.Column) -> F.Column:
+    return F.array_join(F.transform(vector, F.hex), ",")
+
+
+_HEX_SQL = "array_to_string(list_transform({0}, lambda l: hex(l)), ',')"
+
+
+@query(f"""WITH v AS MATERIALIZED (SELECT n_nationkey, {_lanes_sql('n_name')} AS x, {_lanes_sql("('r' || n_regionkey)")} AS y FROM nation),
+z AS MATERIALIZED (SELECT *, list_transform(range(1, 33), lambda i: xor(x[i], y[i])) AS z, list_transform(range(1, 33), lambda i: (x[i] >> 1) | ((x[i % 32 + 1] & 1::UBIGINT) << 63)) AS p FROM v)
+SELECT n_nationkey, {_HEX_SQL.format('z')} AS bound, {_HEX_SQL.format('p')} AS turned, CAST({_HAMMING.format('x', 'y')} AS BIGINT) AS bound_bits, CAST(list_sum(list_transform(x, lambda l: bit_count(l))) AS BIGINT) AS bits, {_HEX_SQL.format('x')} AS unbound FROM z""")
 def bind_permute_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "nation").select("n_nationkey", hyper.of_token(F.col("n_name")).alias("x"), hyper.of_token(F.concat(F.lit("r"), "n_regionkey")).alias("y"))
     bound = v.withColumn("z", hyper.bind(F.col("x"), F.col("y")))
-    return bound.select("n_nationkey", hyper.popcount(F.col("z")).cast("bigint").alias("bound_bits"), hyper.popcount(F.col("x")).cast("bigint").alias("bits"), (hyper.bind(F.col("z"), F.col("y")) == F.col("x")).alias("unbound"), (hyper.popcount(hyper.permute(F.col("x"))) == hyper.popcount(F.col("x"))).alias("turned"))
+    return bound.select("n_nationkey", _hex(F.col("z")).alias("bound"), _hex(hyper.permute(F.col("x"))).alias("turned"), hyper.popcount(F.col("z")).cast("bigint").alias("bound_bits"), hyper.popcount(F.col("x")).cast("bigint").alias("bits"), _hex(hyper.bind(F.col("z"), F.col("y"))).alias("unbound"))
 
 
 _BITS_SQL = "list_transform(range(0, 2048), lambda i: CAST((x[i // 64 + 1] >> CAST(i % 64 AS UBIGINT)) & 1 AS BIGINT))"
 
 
-@query(f"""WITH v AS MATERIALIZED (SELECT n_regionkey, {_lanes_sql('n_name')} AS x FROM nation), b AS (SELECT n_regionkey, i, sum(bit) AS s, count(*) AS n FROM (SELECT n_regionkey, unnest(range(0, 2048)) AS i, unnest({_BITS_SQL}) AS bit FROM v) GROUP BY 1, 2)
-SELECT n_regionkey, count(*) AS bits FROM b WHERE 2 * s > n OR (2 * s = n AND i % 2 = 1) GROUP BY 1""")
+@query(f"""WITH v AS MATERIALIZED (SELECT n_regionkey, {_lanes_sql('n_name')} AS x FROM nation), b AS (SELECT n_regionkey, i, sum(bit) AS s, count(*) AS n FROM (SELECT n_regionkey, unnest(range(0, 2048)) AS i, unnest({_BITS_SQL}) AS bit FROM v) GROUP BY 1, 2),
+lanes AS (SELECT n_regionkey, i // 64 AS lane, bit_or(CASE WHEN 2 * s > n OR (2 * s = n AND i % 2 = 1) THEN 1::UBIGINT << CAST(i % 64 AS UBIGINT) ELSE 0::UBIGINT END) AS x FROM b GROUP BY 1, 2)
+SELECT n_regionkey, string_agg(hex(x), ',' ORDER BY lane) AS vector FROM lanes GROUP BY 1""")
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "nation").select("n_regionkey", hyper.of_token(F.col("n_name")).alias("vector"))
-    return hyper.bundle(v, ["n_regionkey"]).select("n_regionkey", hyper.popcount(F.col("vector")).cast("bigint").alias("bits"))
+    return hyper.bundle(v, ["n_regionkey"]).select("n_regionkey", _hex(F.col("vector")).alias("vector"))
 
 
 @query()
@@ -207,16 +216,12 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree(edges(spark, sf_dir))
 
 
-_SEEDS = (1000005, 1000040, 2000003)
+_ASKED_SQL = "(SELECT src FROM edg UNION SELECT dst FROM edg) t(s) WHERE s % 50 = 0"
 _KHOP_SQL = f"""{G}, steps AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edg UNION SELECT dst, src FROM edg),
-seen AS (SELECT s AS query_id, s AS id, 0 AS depth FROM (VALUES {', '.join(f'({s})' for s in _SEEDS)}) t(s) UNION SELECT query_id, b, depth + 1 FROM seen JOIN steps ON a = id WHERE depth < 3),
+seen AS (SELECT s AS query_id, s AS id, 0 AS depth FROM {_ASKED_SQL} UNION SELECT query_id, b, depth + 1 FROM seen JOIN steps ON a = id WHERE depth < 3),
 local_ AS MATERIALIZED (SELECT query_id, id, min(depth) AS depth FROM seen GROUP BY 1, 2)"""
 
 
-def _seed_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, s) for s in _SEEDS], "query_id bigint, id bigint")
-
-
 def _asked_nodes(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().filter(_ASKED.format("id")).select(F.col("id").alias("query_id"), "id")
 
@@ -247,7 +252,7 @@ def ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _global_sql(rounds: int) -> str:
     parts = [
-        f"""{G}, ids AS (SELECT src AS id FROM edg UNION SELECT dst FROM edg), nodes AS MATERIALIZED (SELECT id, CASE WHEN id IN {_SEEDS} THEN 1.0::DOUBLE / 3 ELSE 0 END AS s FROM ids),
+        f"""{G}, ids AS (SELECT src AS id FROM edg UNION SELECT dst FROM edg), nodes AS MATERIALIZED (SELECT id, CASE WHEN id % 50 = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM ids WHERE id % 50 = 0) ELSE 0 END AS s FROM ids),
 arcs0 AS (SELECT a, b, sum(w) AS w FROM (SELECT src AS a, dst AS b, 1.0::DOUBLE AS w FROM edg UNION ALL SELECT dst, src, 0.5 FROM edg) GROUP BY 1, 2), arcs AS MATERIALIZED (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS w FROM arcs0), r0 AS (SELECT id, s AS r FROM nodes)"""
     ]
     for i in range(rounds):
@@ -259,7 +264,7 @@ arcs0 AS (SELECT a, b, sum(w) AS w FROM (SELECT src AS a, dst AS b, 1.0::DOUBLE
 def global_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    ranks = graph.global_pagerank(e, nodes, _seed_frame(spark).select("id"))
+    ranks = graph.global_pagerank(e, nodes, _asked_nodes(e).select("id"))
     return ranks.filter("ppr > 1e-5").select("id", F.round("ppr", 6).alias("ppr"))
 
 
@@ -268,12 +273,17 @@ def _walk_nodes(e: DataFrame) -> DataFrame:
     return ids.withColumn("active", F.col("id") % 5 != 0)
 
 
-@query(f"""{G}, steps AS (SELECT src AS a, dst AS b FROM edg WHERE kind IN ('caused_by', 'before', 'derived_from')),
-walk AS (SELECT s AS start, s AS id FROM (VALUES (1000700), (1001401)) t(s) UNION SELECT start, b FROM walk JOIN steps ON a = id)
-SELECT CAST(start AS BIGINT) AS start, CAST(id AS BIGINT) AS id FROM walk WHERE id % 5 <> 0""")
+#: Nodes that a trajectory gives at most.
+_WALKED = 5
+
+
+@query(f"""{G}, steps AS (SELECT src AS a, dst AS b, seq FROM edg WHERE kind IN ('caused_by', 'before', 'derived_from')),
+walk AS (SELECT s AS start, s AS id, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM {_ASKED_SQL} UNION ALL SELECT start, b, depth + 1, list_append(path, -seq) FROM walk JOIN steps ON a = id),
+first AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY start, id ORDER BY depth, path) = 1)
+SELECT CAST(start AS BIGINT) AS start, CAST(id AS BIGINT) AS id, depth, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, path, id) AS position FROM first WHERE id % 5 <> 0) WHERE position <= {_WALKED}""")
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    return graph.trajectory(e, _walk_nodes(e), _asked_nodes(e).select("id"), 1000).select("start", "id")
+    return graph.trajectory(e, _walk_nodes(e), _asked_nodes(e).select("id"), _WALKED)
 
 
 @query()
@@ -309,18 +319,19 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.contradictions(e, hits)
 
 
-_PAIRS = f"{M}, pairs AS (SELECT x.id AS a, y.id AS b, x.kind AS ka, y.kind AS kb, x.created_s AS ca, y.created_s AS cb FROM mem x JOIN mem y ON x.agent = y.agent AND x.tags[1] = y.tags[1] AND x.id < y.id WHERE x.id % 4 = 0 AND y.id % 4 = 0)"
+_LINKED = f"{M}, linked AS (SELECT x.id, y.id AS other, x.kind AS ka, y.kind AS kb, x.created_s AS ca, y.created_s AS cb FROM mem x JOIN mem y ON x.agent = y.agent AND x.id <> y.id AND len(list_intersect(x.tags, y.tags)) >= 2)"
 
 
-@query(f"{_PAIRS} SELECT a, b, CAST(2 AS BIGINT) AS shared FROM pairs")
+@query(f"{_LINKED} SELECT m.id, (SELECT min(o.id) FROM mem o WHERE o.agent = m.agent AND list_sort(list_distinct(o.tags)) = list_sort(list_distinct(m.tags))) AS class_id, (SELECT count(*) FROM linked l WHERE l.id = m.id) AS linked FROM mem m")
 def auto_link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidation.shared_tag_pairs(memories(spark, sf_dir))
+    """Each memory's class (same agent and tags) and the number of those that share two tags with it."""
+    return consolidation.linked(memories(spark, sf_dir)).select("id", "class_id", "linked")
 
 
-@query(f"{_PAIRS} SELECT a AS src, b AS dst, 'relates_to' AS kind FROM pairs UNION ALL SELECT b, a, 'relates_to' FROM pairs UNION ALL SELECT CASE WHEN ca < cb THEN a ELSE b END, CASE WHEN ca < cb THEN b ELSE a END, 'before' FROM pairs WHERE ka = 'event' AND kb = 'event' AND ca <> cb UNION ALL SELECT CASE WHEN ca < cb THEN b ELSE a END, CASE WHEN ca < cb THEN a ELSE b END, 'after' FROM pairs WHERE ka = 'event' AND kb = 'event' AND ca <> cb")
+@query(f"{_LINKED} SELECT m.id, (SELECT count(*) FROM linked l WHERE l.id = m.id AND ka = 'event' AND kb = 'event' AND ca < cb) AS before, (SELECT count(*) FROM linked l WHERE l.id = m.id AND ka = 'event' AND kb = 'event' AND ca > cb) AS after FROM mem m")
 def temporal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = memories(spark, sf_dir)
-    return consolidation.link_edges(consolidation.shared_tag_pairs(m), m)
+    """How many linked events each event comes before, and after."""
+    return consolidation.linked(memories(spark, sf_dir)).select("id", "before", "after")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'novel' WHEN value / 100 >= 0.85 THEN 'redundant' WHEN value / 100 >= 0.65 THEN 'reinforces' ELSE 'novel' END AS verdict FROM events")
@@ -410,14 +421,15 @@ def hit_rate_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(list_sort(list(value))[least(CAST(floor(count(*) * 0.5) AS BIGINT), count(*) - 1) + 1], 6) AS p50, round(list_sort(list(value))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1], 6) AS p95 FROM events GROUP BY 1")
 def percentile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return held.select("event_type", F.round(evaluation.index_percentile(F.col("v"), 0.5), 6).alias("p50"), F.round(evaluation.index_percentile(F.col("v"), 0.95), 6).alias("p95"))
+    found = evaluation.index_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(list_sort(list(value))[count(*) // 2 + 1], 6) AS upper_median FROM events GROUP BY 1")
 def percentile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.collect_list("value").alias("v"))
-    return both.select("event_type", F.round("p95", 6).alias("p95"), F.round(evaluation.upper_median(F.col("v")), 6).alias("upper_median"))
+    found = evaluation.linear_percentile(table(spark, sf_dir, "events"), "event_type", "value", 0.95, "p95")
+    middle = evaluation.index_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"upper_median": 0.5})
+    return found.join(middle, "event_type").select("event_type", F.round("p95", 6).alias("p95"), F.round("upper_median", 6).alias("upper_median"))
 
 
 @query("SELECT count(*) AS tasks, round(avg(s), 6) AS average_score, CAST(sum(t) AS BIGINT) AS total_tokens, round(avg(t), 6) AS average_tokens, round(sum(t) / nullif(count(*) FILTER (s >= 1), 0), 6) AS tokens_per_correct FROM (SELECT CASE WHEN contains(lower(d.text), 'the') THEN 1.0::DOUBLE ELSE 0.0 END AS s, greatest(CAST(floor(strlen(text) / 4) AS BIGINT), 1) AS t FROM documents d)")
@@ -449,12 +461,12 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older full-text index: BM25 over an inverted table, the best ten."""
     live = memories(spark, sf_dir).filter("superseded_by IS NULL").select("id", text.words(F.col("text")).alias("words"))
     size = live.select("id", F.size("words").alias("n"))
-    n, mean = size.agg(F.count("*"), F.avg("n")).first()
+    n, mean = size.agg(F.count("*")).scalar(), size.agg(F.avg("n")).scalar()
     asked = lexical.query_terms(_queries(spark, sf_dir)).select("query_id", "word")
     tf = live.select("id", F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("tf"))
     hits = tf.join(asked, "word")
     df = hits.groupBy("query_id", "word").agg(F.count("*").alias("df"))
-    part = scoring.idf(F.lit(n), F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / mean))
+    part = scoring.idf(n, F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / mean))
     scored = hits.join(df, ["query_id", "word"]).join(size, "id").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
     return ranking.first_k(scored, 10, [F.desc("bm25"), F.col("id")]).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
@@ -480,7 +492,7 @@ def legacy_recall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = edges(spark, sf_dir)
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    ranks = graph.global_pagerank(e, nodes, _seed_frame(spark).select("id"))
+    ranks = graph.global_pagerank(e, nodes, _asked_nodes(e).select("id"))
     i = F.col("id")
     return ranks.select("id", F.round(legacy.recall_score(i % 7 == 0, F.col("ppr"), i % 10 / 10.0), 6).alias("score"))
 

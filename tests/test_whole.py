@@ -1,51 +1,34 @@
-"""Queries over whole tables, against brute force or SQL without the subsets that the stored SQL still has."""
+"""Operators over whole tables, against brute force."""
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
-from test_catalogue import SF, TABLES, rows
+from test_catalogue import SF
 
 from remembrix import plans
-from remembrix.operators import graph, legacy, ranking
+from remembrix.operators import consolidation, graph, legacy, ranking
 from remembrix.schema import memories
 
 
-@pytest.fixture(scope="module")
-def sql():
-    db = duckdb.connect()
-    for name in TABLES:
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
-    return db
-
-
-def test_all_memories_are_linked(spark):
-    mem = memories(spark, SF).select("id", "agent", "tags", "kind", "created_s").collect()
-    pairs = {(x.id, y.id): len({*x.tags} & {*y.tags}) for x in mem for y in mem if x.id < y.id and x.agent == y.agent and len({*x.tags} & {*y.tags}) >= 2}
-    assert any(a % 4 for a, _ in pairs)
-    assert {(r.a, r.b): r.shared for r in plans.QUERIES["auto_link_pairs"](spark, SF).collect()} == pairs
-    by = {x.id: x for x in mem}
-    expected = {(a, b, "relates_to") for a, b in pairs} | {(b, a, "relates_to") for a, b in pairs}
-    for a, b in pairs:
-        if by[a].kind == by[b].kind == "event" and by[a].created_s != by[b].created_s:
-            a, b = sorted((a, b), key=lambda i: by[i].created_s)
-            expected |= {(a, b, "before"), (b, a, "after")}
-    got = [tuple(r) for r in plans.QUERIES["temporal_edges"](spark, SF).select("src", "dst", "kind").collect()]
+def test_links_by_pairs(spark):
+    """New memories meet old ones and each other, old ones don't meet again."""
+    rows = memories(spark, SF).select("id", "agent", "tags")
+    new, old = rows.filter("id % 5 = 0"), rows.filter("id % 5 <> 0")
+    all_ = rows.collect()
+    expected = {frozenset((x.id, y.id)) for x in all_ for y in all_ if x.id % 5 == 0 and x.id != y.id and x.agent == y.agent and len({*x.tags} & {*y.tags}) >= 2}
+    got = [frozenset((r.a, r.b)) for r in consolidation.shared_tag_pairs(new, old).collect()]
     assert len(got) == len(expected) and {*got} == expected
 
 
-def same(spark, sql, name, *changes):
-    whole = plans.SQL[name]
-    for narrow, wide in changes:
-        whole = whole.replace(narrow, wide)
-    df = plans.QUERIES[name](spark, SF)
-    got = sql.execute(whole)
-    names = [d[0] for d in got.description]
-    assert rows([tuple(r) for r in df.collect()], df.columns) == rows(got.fetchall(), names)
-
-
-@pytest.mark.parametrize("name", ["doc_freq", "idf", "term_overlap", "tag_overlap", "intent", "minimum_slice", "rrf_fuse", "bm25_search"])
-def test_all_items_are_asked_with_their_whole_text(spark, sql, name):
-    same(spark, sql, name, ("left(text, 80) AS text", "text"), (" WHERE item_id < 10", ""))
+def test_linked_classes_with_several_tags(spark):
+    made = [(i, f"a{i % 2}", [t for k, t in enumerate("pqrst") if i >> k & 1], ("event", "fact")[i % 3 == 0], i // 2 * 50_000) for i in range(64)]
+    made += [(100, None, ["p", "q"], "event", 5), (101, None, ["q", "p", "p"], "event", 6)]
+    df = spark.createDataFrame(made, "id bigint, agent string, tags array<string>, kind string, created_s bigint")
+    got = {r.id: tuple(r)[1:] for r in consolidation.linked(df).collect()}
+    for i, agent, tags, kind, at in made:
+        mine = [m for m in made if m[0] != i and m[1] == agent and len({*m[2]} & {*tags}) >= 2]
+        timed = [m for m in mine if kind == m[3] == "event"]
+        same = min(m[0] for m in made if m[1] == agent and {*m[2]} == {*tags})
+        assert got[i] == (same, len(mine), sum(m[4] > at for m in timed), sum(m[4] < at for m in timed))
 
 
 @pytest.mark.parametrize("name", ["mmr_pick", "recall_full"])
@@ -53,25 +36,6 @@ def test_items_beyond_the_first_are_answered(spark, name):
     assert plans.QUERIES[name](spark, SF).filter("query_id >= 10").count()
 
 
-NODES = "(SELECT src FROM edg UNION SELECT dst FROM edg) t(s) WHERE s % 50 = 0"
-SEEDS = "(VALUES (1000005), (1000040), (2000003)) t(s)"
-
-
-@pytest.mark.parametrize(
-    ("name", "narrow", "wide"),
-    [
-        ("cosine_topk", "vec_id < 10", "vec_id % 50 = 0"),
-        ("hamming_topk", "c_custkey <= 3", "c_custkey % 50 = 0"),
-        ("knapsack", " WHERE p_partkey <= 60", ""),
-        ("k_hop", SEEDS, NODES),
-        ("ppr", SEEDS, NODES),
-        ("trajectory", "(VALUES (1000700), (1001401)) t(s)", NODES),
-    ],
-)
-def test_queries_and_seeds_grow_with_the_table(spark, sql, name, narrow, wide):
-    same(spark, sql, name, (narrow, wide))
-
-
 def test_knapsack_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(ranking, "STRETCH", 3)
     costs = [9, 40, 41, 42, 5, 30, 1, 7, 7, 2, 1, 8, 0]
