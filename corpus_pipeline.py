@@ -54,8 +54,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, their number, and the text that the ids decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, out="ids")
-    return bpe.decode(ids, path).select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded")
+    made = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path)
+    return made.select("doc_id", "lang", "source", "tokens.ids", F.size("tokens.ids").cast("bigint").alias("n_tokens"), "tokens.decoded")
 
 
 STAGES = [

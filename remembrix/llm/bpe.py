@@ -326,13 +326,27 @@ def _model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _ids(path: str, texts: list[str | None]) -> pa.ListArray:
+    ids, counts = _model(path).encode_batch(texts)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _decoded(path: str, ids: pa.Array) -> pa.Array:
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(ids):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
+        out.append(_model(path).decode_batch(ids.slice(at, to - at)))
+        at = to
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def encoder(path: str):
     """A function on a text column: its ids under the tokenizers file at path (on each executor)."""
 
     @text_udf("array<int>")
     def encode(texts: list[str | None]) -> pa.Array:
-        ids, counts = _model(path).encode_batch(texts)
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return _ids(path, texts)
 
     return encode
 
@@ -341,18 +355,23 @@ def decoder(path: str):
     """A function on a column of arrays of ids: the decoded text, empty for null."""
 
     def decode(ids: pa.Array) -> pa.Array:
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        out, at = [], 0
-        while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
-            out.append(_model(path).decode_batch(ids.slice(at, to - at)))
-            at = to
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+        return _decoded(path, ids)
 
     decode.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     return F.arrow_udf(decode, returnType="string")
 
 
+def both_ways(path: str):
+    """A function on a text column: its ids, and the text that these decode to, in one pass."""
+
+    @text_udf("ids array<int>, decoded string")
+    def encode_and_decode(texts: list[str | None]) -> pa.Array:
+        ids = _ids(path, texts)
+        return pa.StructArray.from_arrays([ids, _decoded(path, ids)], ["ids", "decoded"])
+
+    return encode_and_decode
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of each text; a column named out is replaced."""
     return df.withColumn(out, encoder(path)(F.col(text)))
@@ -363,6 +382,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.withColumn(out, decoder(path)(F.col(ids)))
 
 
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """df with a struct out of ids and decoded; a column of that name is replaced. As encode(), then decode(), but texts go to Python once."""
+    return df.withColumn(out, both_ways(path)(F.col(text)))
+
+
 def decimals(ids: Column) -> Column:
     """Ids in decimals with one space between them."""
     return F.array_join(ids.cast("array<string>"), " ")
@@ -371,5 +395,6 @@ def decimals(ids: Column) -> Column:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and SHA-256 of the ids, and the SHA-256 of what these ids decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(decimals(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    ids = F.col("tokens.ids")
+    return both.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(decimals(ids), 256).alias("ids_sha256"), F.sha2("tokens.decoded", 256).alias("decoded_sha256"))
