@@ -16,7 +16,9 @@ id and text columns are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -39,8 +41,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Tokens of a segment at most.
 LONGEST = 16
 BUCKETS = 1 << 13
-_WORDLIKE = r"[^\s]*(?:[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\])[^\s]*"
-_STRETCH = re.compile(rf"{_WORDLIKE}(?: {_WORDLIKE})*")
+_SIGN = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]")
+_SPACE = re.compile(r"\s")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[\s\S]")
 _CUES = {"call": "phone", "tel": "phone", "phone": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "mail": "email", "email": "email", "contact": "email", "order": "no", "isbn": "no", "version": "no", "page": "no", "section": "no", "invoice": "no", "hash": "no", "id": "no"}
 
@@ -239,18 +241,44 @@ def trained(rounds: int = 6) -> SegmentField:
     return field
 
 
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring words, one space between them, that hold a digit, an @ or a spelt-out at each.
+
+    Each sign is widened to its word and the search goes on behind that, so that the whole is linear in the text.
+    """
+    begin = end = -1
+    low = 0
+    while m := _SIGN.search(text, low):
+        a = m.start()
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        space = _SPACE.search(text, m.end())
+        low = space.start() if space else len(text)
+        if begin >= 0 and a == end + 1 and text[end] == " ":
+            end = low
+        else:
+            if begin >= 0:
+                yield begin, end
+            begin, end = a, low
+    if begin >= 0:
+        yield begin, end
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], field: SegmentField) -> list[tuple[int, int, int]]:
     """What the field finds besides base spans."""
     out = []
-    taken = sorted((a, b) for a, _, b in base)
-    for m in _STRETCH.finditer(text):
-        if all(c.isalnum() for c in m[0]):  # one plain word or number has no inner boundary
+    starts_taken = [a for a, _, _ in base]
+    reach = list(itertools.accumulate((b for _, _, b in base), max))  # how far the spans up to each one go
+    for a, b in stretches(text):
+        stretch = text[a:b]
+        if stretch.isalnum():  # one plain word or number has no inner boundary
             continue
-        before = text[max(0, m.start() - 24) : m.start()].rstrip(" :#").rpartition(" ")[2].lower()
-        tokens = _TOKEN.findall(m[0])
-        starts = np.cumsum([m.start(), *map(len, tokens)]).tolist()
+        before = text[max(0, a - 24) : a].rstrip(" :#").rpartition(" ")[2].lower()
+        tokens = _TOKEN.findall(stretch)
+        starts = list(itertools.accumulate(map(len, tokens), initial=a))
         for i, k, j in field.best(tokens, _CUES.get(before, "")):
-            if not any(a < starts[j] and starts[i] < b for a, b in taken):
+            n = bisect.bisect_left(starts_taken, starts[j])
+            if not n or reach[n - 1] <= starts[i]:
                 out.append((starts[i], k, starts[j]))
     return out
 
@@ -289,4 +317,4 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda k: F.size(F.filter("personal.base", lambda s: s["kind"] == k)).cast("bigint")
     count = [number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     base, added = F.col("personal.base"), F.col("personal.added")
-    return found.select("doc_id", *count, F.sha2(text(base), 256).alias("base_sha256"), text(F.concat(base, added)).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(text(base), 256).alias("base_sha256"), text(F.concat(base, added)).alias("spans"), (F.size(base) + F.size(added)).cast("bigint").alias("n_spans"))

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +50,83 @@ def test_field_learns_its_forms():
         assert pii.joined(pii.added_spans(text, pii.base_spans(text), field)) == span
 
 
+def segmentations(candidates, n):
+    """All ways to cover n tokens by candidates of each kind and single tokens outside."""
+    def rest(at):
+        if at == n:
+            yield ()
+            return
+        for more in rest(at + 1):
+            yield more
+        for i, j, buckets in candidates:
+            if i == at:
+                for more in rest(j):
+                    for k in range(len(pii.KINDS)):
+                        yield ((i, k, j), *more)
+
+    return list(rest(0))
+
+
+@pytest.mark.parametrize("text", ["+1 (583) 555-84", "a@b.c 1.2.3", "x(at)y.z 7-8-9"])
+def test_dynamic_programming_and_gradient_against_enumeration(text):
+    rng = np.random.default_rng(len(text))
+    field = pii.SegmentField()
+    field.weights = rng.normal(size=pii.BUCKETS)
+    tokens = pii._TOKEN.findall(text)
+    candidates = field.candidates(tokens, "")
+    names = {(i, j): buckets for i, j, buckets in candidates}
+    value = lambda way, w: sum(w[names[i, j][k]].sum() for i, k, j in way)
+    ways = segmentations(candidates, len(tokens))
+    assert len(ways) > 50
+    assert tuple(field.best(tokens, "")) == max(ways, key=lambda way: value(way, field.weights))
+    truth = set(ways[len(ways) // 2])
+    weights = field.weights.copy()
+    scores = np.array([value(way, weights) for way in ways])
+    share = np.exp(scores - np.logaddexp.reduce(scores))
+    expected = np.zeros(pii.BUCKETS)
+    for way, p in [*zip(ways, -share, strict=True), (truth, 1.0)]:
+        for i, k, j in way:
+            expected[names[i, j][k]] += p  # as the step adds to it: a bucket that stands twice in a segment counts once
+    field.step(candidates, len(tokens), truth, 1e-3)
+    assert np.allclose((field.weights - weights) / 1e-3, expected, atol=0.02)
+
+
+def plain_stretches(text):
+    wordlike = r"[^\s]*(?:[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\])[^\s]*"
+    return [m.span() for m in re.finditer(rf"{wordlike}(?: {wordlike})*", text)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("a1@ \n(at)[].+", max_size=40))
+def test_stretches(text):
+    assert list(pii.stretches(text)) == plain_stretches(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 2_000_000, "a" * 1_000_000 + "1", "ab1/" * 250_000, "1 " * 300_000, "x@y.z " * 30_000, "é" * 1_000_000 + " 1.2.3.4"])
+def test_very_long_texts(text):
+    began = time.process_time()
+    base = pii.base_spans(text)
+    pii.added_spans(text, base, pii.trained())
+    assert time.process_time() - began < 60
+
+
+def test_forms_that_the_templates_lack():
+    """Held-out kinds of templates: separators, brackets and lengths that training_rows() never makes."""
+    field, rng = pii.trained(), random.Random(5)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    found = {
+        "phone": lambda: f"+{d(2)}-{d(3)}-{d(3)}-{d(4)}",
+        "email": lambda: f"anna{d(3)}[at]mail{d(1)}.example.org",
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+    }
+    left = [lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"v{d(1)}.{d(2)}", lambda: f"{d(1)},{d(3)}.{d(2)}", lambda: f"({d(2)})", lambda: f"{d(2)}%"]
+    spans = lambda text: pii.added_spans(text, base, field) + base if (base := pii.base_spans(text)) else pii.added_spans(text, base, field)
+    hit = {kind: sum(any(pii.KINDS[k] == kind for _, k, _ in spans(f"see {make()} here")) for _ in range(100)) for kind, make in found.items()}
+    wrong = sum(bool(spans(f"see {make()} here")) for make in left for _ in range(40))
+    assert all(n >= 70 for n in hit.values()), hit
+    assert wrong <= 20, wrong
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = pii.op2_personal_data(spark, sf_dir).collect()
@@ -55,6 +135,7 @@ def test_query(spark, sf_dir):
         base = brute(texts[r.doc_id])
         assert tuple(r)[1:5] == tuple(sum(s[1] == k for s in base) for k in range(4))
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
         assert set(pii.joined(base).split(",")) - {""} <= set(r.spans.split(","))
 
 
