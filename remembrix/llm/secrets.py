@@ -4,18 +4,22 @@ Everything is an expression on the text column. Positions come from splitting a
 of pieces and matches add up to starts and ends in code points.
 
 Candidates of the battery are runs of SHORTEST or more letters, digits and +/_=- that overlap no base span. A
-run's encoding is inferred from its characters (hex, base 32, 36, 62 or 64), and three tests measure how far it
-is from uniform random text in that encoding: chi-squared over PARTS equal parts of the alphabet, runs above and below
-its middle, and serial correlation of neighbours. Fisher's method joins their p-values into one surprise, minus
-the logarithm of the joint p-value: small for random strings, large for words.
+run's encoding is inferred from its characters (hex, base 32, 36, 62 or 64), and four tests measure how far it
+is from uniform random text in that encoding: chi-squared over the letters of the alphabet, chi-squared over PARTS
+equal parts of it, runs above and below its middle, and serial correlation of neighbours. Fisher's method joins
+their p-values into one surprise, minus the logarithm of the joint p-value: small for random strings, large for words.
 
 Whether a small surprise is a discovery depends on how often ordinary words have it. Runs of letters of one case
-(a capital first letter apart) are the reference; their surprises are counted in bins by length class over the
+(a capital first letter apart) are the reference. The surprise of a random run doesn't grow with its length, that of a
+word does, so that surprises are compared by SHORTEST characters. They are counted in bins by length class over the
 whole column, and a candidate's p-value is the share of reference runs, of its length class or a shorter one, that
 look as random. A Benjamini-Hochberg step-up over the candidates of each length class, on the bin counts, keeps
 the share of false discoveries below RATE; short runs, whose words look random more often, thereby need more.
 Counts are a table of fixed size; of it, one threshold for each length class reaches the driver.
 
+Work and memory are linear in a text, or nearly so: running sums go over blocks of BLOCK elements, and what is
+cut out of a text is cut out of pieces of PIECE characters.
+
 Runs of digits alone are no candidates. Defined cases: null and empty texts have no spans; equal texts, equal
 values; whole texts of any length; without reference runs, or without candidates, none is added; only the id and
 text columns are read.
@@ -57,22 +61,60 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_=+/",
 }
+#: Elements of a block for running values, and characters of a piece of a text.
+BLOCK, PIECE = 64, 1024
 _SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _before(values: Column, first: int, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints the join of first and those before it."""
+
+    def spread(blocks: Column) -> Column:
+        start = F.struct(F.lit(first).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, t: F.struct(join(s["at"], t).alias("at"), F.array_append(s["out"], s["at"]).cast("array<int>").alias("out"))
+        # appends copy what is there: one for each block
+        begins = F.aggregate(F.transform(blocks, lambda block: F.aggregate(block, F.lit(first), join)), start, step)["out"]
+        return F.flatten(F.zip_with(blocks, begins, lambda block, begin: F.transform(block, lambda _, i: F.aggregate(F.slice(block, F.lit(1), i), begin, join))))
+
+    def cut(values: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(values) > 0, _let(blocks, spread)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, cut)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """All matches of a pattern, with their places."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["piece"])
-        end = begin + F.length(pair["found"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), pair["found"].alias("text"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).cast(_SPAN).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        whole = _before(F.transform(pairs, lambda p: F.length(p["piece"]) + F.length(p["found"])), 0, _plus)
+
+        def span(pair: Column, at: Column) -> Column:
+            begin = at + F.length(pair["piece"])
+            return F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + F.length(pair["found"])).alias("end"), pair["found"].alias("text"))
+
+        return F.zip_with(pairs, whole, span)
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, f: F.struct(p.alias("piece"), f.alias("found")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["spans"]).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _let(pairs, placed).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -81,11 +123,6 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(_matches(text, kind, PATTERNS[kind]), lambda s: size(s) >= LEAST[kind])
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _normal_tail(z: Column) -> Column:
     """Minus the logarithm of the two-sided tail of a normal value, by a logistic curve."""
     return _let(F.abs(z), lambda z: F.log1p(F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(700.0)))) - F.log(F.lit(2.0)))
@@ -96,25 +133,36 @@ def _total(array: Column, of: Callable[[Column], Column] = lambda x: x) -> Colum
 
 
 def surprise(run: Column) -> Column:
-    """Minus the logarithm of the joint p-value of the three tests, of a run against random text in its encoding."""
+    """Minus the logarithm of the joint p-value of the four tests, of a run against random text in its encoding."""
     alphabet = F.coalesce(*(F.when(F.translate(run, letters, "") == "", F.lit(letters)) for letters in ALPHABETS.values()), F.lit(ALPHABETS["base64url"]))
-
     # places in the alphabet, as a share of its size
-    def shares(letters: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: (F.position(F.substring(run, i, F.lit(1)), letters) - 0.5) / F.length(letters))
+    shares = lambda letters: F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: (F.position(c, letters) - 0.5) / F.length(letters))
+    return _let(alphabet, lambda letters: _let(shares(letters), lambda v: _joint(v, F.length(letters).cast("double"))))
 
-    return _let(_let(alphabet, shares), _joint)
 
+def _squares(v: Column) -> Column:
+    """The sum of squares of how often each value stands in v."""
+    start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("times"), F.lit(0.0).alias("sum"))
 
-def _joint(v: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
+        times = F.when(s["last"] == x, s["times"] + 1).otherwise(F.lit(1.0))
+        return F.struct(x.alias("last"), times.alias("times"), (s["sum"] + 2 * times - 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(v), start, step)["sum"]
+
+
+def _joint(v: Column, k: Column) -> Column:
+    """v: places as shares of an alphabet of k letters."""
     n = F.size(v).cast("double")
     pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    # how far the counts of the parts are from even: as many degrees of freedom as parts, less one
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: _total(v, lambda x: (F.floor(x * PARTS) == k).cast("double")) - n / PARTS)
+    # over letters, whose expected counts are small: by the statistic's own mean and variance
+    p_letters = _normal_tail(F.greatest((_squares(v) * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n), F.lit(0.0)))
+    # over parts: as many degrees of freedom as parts, less one
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: _total(v, lambda x: (F.floor(x * PARTS) == j).cast("double")) - n / PARTS)
     chi = _total(parts, lambda d: d * d) / (n / PARTS)
     ninth = 2 / (9 * (PARTS - 1))
     cube = (F.pow(chi / (PARTS - 1), F.lit(1 / 3)) - (1 - ninth)) / ninth**0.5  # about normal
-    p_chi = _normal_tail(F.greatest(cube, F.lit(0.0)))
+    p_parts = _normal_tail(F.greatest(cube, F.lit(0.0)))
     constant = (n - 1) * F.log(F.lit(2.0))  # of a run that never changes sides
     high = _total(v, lambda x: (x >= 0.5).cast("double"))
     runs = 1 + _total(pairs, lambda p: ((p["a"] >= 0.5) != (p["b"] >= 0.5)).cast("double"))
@@ -127,11 +175,11 @@ def _joint(v: Column) -> Column:
         return _let(_total(v, lambda x: (x - mean) * (x - mean)), lambda var: F.when(var > 0, _normal_tail((_total(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)) / var + 1 / n) * F.sqrt(n))).otherwise(constant))
 
     p_runs, p_serial = _let(_let(high, lambda h: 2 * h * (n - h) / n + 1), by_runs), _let(_total(v) / n, by_mean)
-    return _let(p_chi + p_runs + p_serial, lambda half: half - F.log1p(half + half * half / 2))
+    return _let(p_letters + p_parts + p_runs + p_serial, lambda half: half - F.log1p(half + half * half / 2 + half * half * half / 6))
 
 
 def _bin(run: Column) -> Column:
-    return F.least(F.floor(surprise(run) / WIDTH), F.lit(BINS - 1)).cast("int")
+    return F.least(F.floor(surprise(run) * SHORTEST / F.length(run) / WIDTH), F.lit(BINS - 1)).cast("int")
 
 
 def _class(run: Column) -> Column:
@@ -141,25 +189,36 @@ def _class(run: Column) -> Column:
     return out
 
 
+_FAR = 2**31 - 1
+
+
 def _runs(text: Column, base: Column) -> Column:
-    """Runs that overlap no base span."""
-    return F.filter(_matches(text, "random", RUN), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    """Runs that overlap no base span: in the order of starts, none that stands before ends behind a run's start, and none that comes next starts before its end."""
+    runs = _matches(text, "random", RUN)
+
+    def apart(spans: Column) -> Column:
+        reach = _before(F.transform(spans, lambda s: F.when(s["kind"] < len(PATTERNS), s["end"]).otherwise(0)), 0, _most)
+        later = F.reverse(_before(F.reverse(F.transform(spans, lambda s: F.when(s["kind"] < len(PATTERNS), s["start"]).otherwise(_FAR))), _FAR, _least))
+        bounds = F.zip_with(reach, later, lambda r, n: F.struct(r.alias("reach"), n.alias("next")))
+        free = F.zip_with(spans, bounds, lambda s, b: F.struct(s.alias("span"), ((s["kind"] == len(PATTERNS)) & (b["reach"] <= s["start"]) & (b["next"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(free, lambda x: x["free"]), lambda x: x["span"])
+
+    return _let(runs, lambda runs: F.when((F.size(base) == 0) | (F.size(runs) == 0), runs).otherwise(_let(F.array_sort(F.concat(base, runs)), apart).cast(_SPAN)))
 
 
 def _is_candidate(run: Column) -> Column:
     return ~run.rlike(REFERENCE) & ~run.rlike("^[0-9]+$")
 
 
-def _with_base(df: DataFrame, text: str) -> DataFrame:
-    """df with spans of each base kind, all base spans, and the other runs."""
-    df = df.withColumns({f"_{kind}": base_spans(F.col(text), kind) for kind in PATTERNS})
-    df = df.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{kind}") for kind in PATTERNS))))
-    return df.withColumn("_runs", _runs(F.col(text), F.col("_base")))
+def _scanned(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with a struct out of base spans and of the other runs."""
+    base = F.array_sort(F.concat(*(base_spans(F.col(text), kind) for kind in PATTERNS)))
+    return df.withColumn(out, _let(base, lambda base: F.struct(base.alias("base"), _runs(F.col(text), base).alias("runs"))))
 
 
 def thresholds(df: DataFrame, text: str = "text") -> dict[int, int]:
     """For each length class the last bin that is a discovery; no entry: none is."""
-    runs = _with_base(df.select(text), text).select(F.explode("_runs.text").alias("run"))
+    runs = _scanned(df.select(F.col(text).alias("text")), "text", "found").select(F.explode("found.runs.text").alias("run"))
     runs = runs.filter(F.col("run").rlike(REFERENCE) | _is_candidate(F.col("run")))
     counts = runs.groupBy(_class(F.col("run")).alias("class"), _bin(F.col("run")).alias("bin")).agg(
         F.count_if(F.col("run").rlike(REFERENCE)).alias("words"), F.count_if(_is_candidate(F.col("run"))).alias("candidates")
@@ -178,18 +237,17 @@ def thresholds(df: DataFrame, text: str = "text") -> dict[int, int]:
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """df with an array out of spans (start, kind, end, text), base ones and added ones, by start and kind.
 
-    kind is an index of KINDS; a column named out is replaced, and the names _assign, _access, _hex, _base and
-    _runs are taken while it runs.
+    kind is an index of KINDS; a column named out is replaced.
     """
     limits = thresholds(df, text)
-    found = _with_base(df, text)
+    found = _scanned(df, text, out)
     if limits:
         most = F.create_map(*(F.lit(x) for item in sorted(limits.items()) for x in item))
         limit = lambda run: F.coalesce(F.try_element_at(most, _class(run)), F.lit(-1))
-        added = F.filter("_runs", lambda r: _is_candidate(r["text"]) & (_bin(r["text"]) <= limit(r["text"])))
+        added = F.filter(F.col(out)["runs"], lambda r: _is_candidate(r["text"]) & (_bin(r["text"]) <= limit(r["text"])))
     else:
         added = F.array().cast(_SPAN)
-    return found.withColumn(out, F.array_sort(F.concat("_base", added))).drop("_base", "_runs", *(f"_{kind}" for kind in PATTERNS))
+    return found.withColumn(out, F.array_sort(F.concat(F.col(out)["base"], added)))
 
 
 def joined(spans: Column) -> Column:
@@ -199,15 +257,22 @@ def joined(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced."""
-    start = F.struct(F.lit("").alias("made"), F.lit(0).alias("at"))
+    """The text with each stretch that spans cover replaced. spans: by start."""
+
+    def made(pieces: Column, reach: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            """Characters a to b, from the pieces that hold them."""
+            first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+            own = lambda k: F.get(pieces, k)
+            inside = F.concat(F.substring(own(first), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(own(last), F.lit(1), (b - 1) % PIECE + 1))
+            return F.when(a >= b, F.lit("")).when(first == last, F.substring(own(first), a % PIECE + 1, b - a)).otherwise(inside)
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.when(s["start"] >= state["at"], F.concat(state["made"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(state["made"])
-        return F.struct(kept.alias("made"), F.greatest(state["at"], s["end"]).alias("at"))
+        kept = F.zip_with(spans, reach, lambda s, r: F.when(s["start"] >= r, F.concat(part(r, s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), part(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    done = lambda s: F.concat(s["made"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, done))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    reach = _before(F.transform(spans, lambda s: s["end"]), 0, _most)
+    return F.when(F.size(spans) == 0, text).otherwise(_let(pieces, lambda pieces: _let(reach, lambda reach: made(pieces, reach))))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,11 +303,11 @@ WITH base AS MATERIALIZED ({base}),
 runs AS MATERIALIZED (SELECT *, CASE {classes} ELSE {len(CLASSES)} END AS class, regexp_matches(run, '{REFERENCE}') AS word, NOT regexp_matches(run, '{REFERENCE}') AND NOT regexp_matches(run, '^[0-9]+$') AS candidate, CASE {alphabet} ELSE '{ALPHABETS['base64url']}' END AS a
   FROM ({_places_sql('random', RUN, 'true')}) r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r."end" AND r.start < b."end")),
 v AS (SELECT *, list_transform(range(1, length(run) + 1), lambda i: (strpos(a, run[i]) - 0.5::DOUBLE) / length(a)) AS v, CAST(length(run) AS DOUBLE) AS n FROM runs WHERE word OR candidate),
-m AS (SELECT *, list_sum(list_transform(range(0, {PARTS}), lambda k: pow(len(list_filter(v, lambda x: floor(x * {PARTS}) = k)) - n / {PARTS}, 2))) / (n / {PARTS}) AS chi, CAST(len(list_filter(v, lambda x: x >= 0.5)) AS DOUBLE) AS high,
+m AS (SELECT *, list_sum(list_transform(range(0, {PARTS}), lambda k: pow(len(list_filter(v, lambda x: floor(x * {PARTS}) = k)) - n / {PARTS}, 2))) / (n / {PARTS}) AS chi, CAST(length(a) AS DOUBLE) AS k, list_sum(list_transform(list_distinct(v), lambda x: pow(len(list_filter(v, lambda y: y = x)), 2))) AS squares, CAST(len(list_filter(v, lambda x: x >= 0.5)) AS DOUBLE) AS high,
   1 + len(list_filter(range(1, len(v)), lambda i: (v[i] >= 0.5) <> (v[i + 1] >= 0.5))) AS r, list_sum(v) / n AS mean FROM v),
-t AS (SELECT *, greatest((pow(chi / {PARTS - 1}, 1.0::DOUBLE / 3) - {1 - ninth!r}) / {ninth**0.5!r}, 0) AS cube, 2 * high * (n - high) / n + 1 AS expected, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS var, list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))) AS cross_ FROM m),
-h AS (SELECT *, {tail('cube')} + CASE WHEN expected > 2 THEN {tail('((r - expected) / sqrt((expected - 1) * (expected - 2) / (n - 1)))')} ELSE (n - 1) * ln(2) END + CASE WHEN var > 0 THEN {tail('((cross_ / var + 1 / n) * sqrt(n))')} ELSE (n - 1) * ln(2) END AS half FROM t),
-binned AS MATERIALIZED (SELECT *, least(CAST(floor((half - ln(1 + half + half * half / 2)) / {WIDTH}) AS BIGINT), {BINS - 1}) AS bin FROM h),
+t AS (SELECT *, greatest((pow(chi / {PARTS - 1}, 1.0::DOUBLE / 3) - {1 - ninth!r}) / {ninth**0.5!r}, 0) AS cube, greatest((squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n), 0) AS z, 2 * high * (n - high) / n + 1 AS expected, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS var, list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))) AS cross_ FROM m),
+h AS (SELECT *, {tail('z')} + {tail('cube')} + CASE WHEN expected > 2 THEN {tail('((r - expected) / sqrt((expected - 1) * (expected - 2) / (n - 1)))')} ELSE (n - 1) * ln(2) END + CASE WHEN var > 0 THEN {tail('((cross_ / var + 1 / n) * sqrt(n))')} ELSE (n - 1) * ln(2) END AS half FROM t),
+binned AS MATERIALIZED (SELECT *, least(CAST(floor((half - ln(1 + half + half * half / 2 + half * half * half / 6)) * {SHORTEST} / n / {WIDTH}) AS BIGINT), {BINS - 1}) AS bin FROM h),
 grid AS (SELECT c AS class, b AS bin FROM range(0, {len(CLASSES) + 1}) x(c), range(0, {BINS}) y(b)),
 cum AS (SELECT g.class, g.bin, (SELECT count(*) FROM binned z WHERE z.word AND z.class <= g.class AND z.bin <= g.bin) AS w, (SELECT count(*) FROM binned z WHERE z.word AND z.class <= g.class) AS n, (SELECT count(*) FROM binned z WHERE z.candidate AND z.class = g.class AND z.bin <= g.bin) AS c, (SELECT count(*) FROM binned z WHERE z.candidate AND z.class = g.class) AS m FROM grid g),
 most AS (SELECT class, max(bin) AS bin FROM cum WHERE n > 0 AND c > 0 AND (w + 1) / (n + 1) <= {RATE} * c / m GROUP BY 1),
