@@ -6,8 +6,8 @@ log ratio of its smoothed class counts; a linear hinge-loss model is fitted on t
 and a logistic curve, fitted on folds of the training rows that their models haven't seen, turns margins into
 scores.
 
-At most SAMPLE labelled rows are used, those with the least hashes of their ids; this bounds what the driver
-holds. Rows whose crc32(doc_id) mod 4 is 2 are never learnt from. Labels, language, source and id are no inputs.
+At most SAMPLE labelled rows are used, those with the least hashes of their ids, and of these as many as have at most
+SAMPLE_BYTES of features; this bounds what the driver holds. Rows whose crc32(doc_id) mod 4 is 2 are never learnt from. Labels, language, source and id are no inputs.
 
 Defined cases: a null text is scored as an empty one, and an empty one by the intercept; repeated label rows
 count once each, null labels or ids not at all; without both classes in the sample every score is the share of
@@ -20,15 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_udf
+from .common import cut, table, text_udf
 from .hashing import mixed, powers
 
 BUCKETS = 1 << 18
-#: Labelled rows that a fit takes at most.
-SAMPLE = 4000
+#: Labelled rows that a fit takes at most, and bytes of their features.
+SAMPLE, SAMPLE_BYTES = 4000, 256 << 20
 ACCEPT = 0.7
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -106,6 +106,8 @@ def log_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0)
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cost: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Weights and intercept of the L2-regularised hinge-loss model on the scaled indicators, classes weighted evenly."""
+    if not len(rows):
+        return np.zeros(BUCKETS), 0.0
     sign = np.where(labels == 1, 1.0, -1.0)
     limit = cost * np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     values = [scale[r] / np.sqrt(max(1, len(r))) for r in rows]
@@ -179,11 +181,18 @@ def packed_features(texts: list[str | None]) -> list[bytes]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most sample labelled rows that aren't held out."""
-    chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"))
+    chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     # at most sample rows, so that any executor can hold them
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "label").limit(sample).select(packed_features(F.col("text")).alias("f"), "label").collect()
+    size = F.least(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") * 10, F.lit(4 * BUCKETS))  # a word has two bytes at least, and five features of four
+    found = docs.select("doc_id", F.xxhash64("text").alias("mark"), size.alias("size")).join(F.broadcast(chosen), "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("mark"), F.col("label"), F.col("doc_id")]
+    kept = cut(found.orderBy(*order).limit(sample))
+    # a window over sample rows of numbers at most
+    kept = kept.withColumn("upto", F.sum("size").over(Window.orderBy(*order))).filter(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "mark", "label")
+    texts = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "mark"])
+    got = texts.select("doc_id", "mark", "label", packed_features(F.col("text")).alias("f")).dropDuplicates(["doc_id", "mark", "label"]).collect()
+    got = sorted(got, key=lambda r: (r.doc_id, r.mark, r.label))
     return fit([np.frombuffer(r.f, np.int32) for r in got], np.array([r.label for r in got], np.int64))
 
 
