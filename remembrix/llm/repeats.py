@@ -5,13 +5,16 @@ Each text is cut by it: the windows (starts of LENGTH bytes) that share an ancho
 from the first window's start to the last one's end. Two equal windows have equal anchors, so that only contexts
 of one anchor can share a window:
 
-1. count anchors; those that occur once are done;
-2. equal contexts of an anchor collapse to one with a count; windows of a context that occurs twice are repeats;
-3. distinct contexts of an anchor are gathered in shards of about SHARD_BYTES, each a run-length index whose
-   matching statistics are streamed: a window whose longest match is LENGTH bytes or more is a repeat. Anchors
+1. equal contexts collapse to one with a count; windows of a context that occurs twice are repeats;
+2. contexts that occur once, and whose anchor no other context has, are done;
+3. the others are gathered with all contexts of their anchors in shards of about SHARD_BYTES, each a run-length index
+   whose matching statistics are streamed: a window whose longest match is LENGTH bytes or more is a repeat. Anchors
    with more than CROWD distinct contexts would not fit a shard; their windows are counted by a 128-bit hash;
 4. windows become spans of their texts, and what they cover is cut out.
 
+A passage that a third of all texts hold has one anchor with as many contexts. What is counted by anchor or window is
+counted in each task first and written out before it is joined, so that Spark can split the rows of such an anchor.
+
 Rows are matched by id and text hash, so that rows with equal ids keep their own results. Contexts that occur
 once carry their place, so that only places of repeated ones are joined. Intermediate tables are written to the
 shared folder in spark.checkpoint.dir.
@@ -251,13 +254,11 @@ _windows.__annotations__ = {"data": pa.Array, "return": pa.Array}
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, mark, pack: the text compressed) and their repeated windows (doc_id, mark, i: first start, n: how many)."""
     rows = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    found = rows.select("doc_id", "mark", F.explode(anchored(F.col("text"))).alias("x")).select("doc_id", "mark", "x.*")
-    often = found.groupBy("a").agg(F.count("*").alias("times")).filter("times > 1").select("a")
-    found = stored(found.join(often, "a", "left_semi"))
+    found = stored(rows.select("doc_id", "mark", F.explode(anchored(F.col("text"))).alias("x")).select("doc_id", "mark", "x.*"))
     same = ["a", "c", "d"]
     groups = stored(found.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "i", "n")).alias("at")))
     # anchors with several contexts, of which one occurs once
-    mixed_ = groups.groupBy("a").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 AND least = 1").select("a", "kinds")
+    mixed_ = stored(groups.groupBy("a").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 AND least = 1").select("a", "kinds"))
     need = groups.join(mixed_, "a").select("a", "times", "kinds", "at.*")
     places = need.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "times", "kinds", "i", "n")).alias("held"))
     packs = rows.select("doc_id", "mark", packed(F.col("text")).alias("pack"))
@@ -269,7 +270,7 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd
     few = few.repartition("a").sortWithinPartitions("a", "doc_id", "mark", "i").select("a", "doc_id", "mark", "i", "n", "bytes", "times")
     by_index = few.mapInArrow(_indexed, "doc_id bigint, mark bigint, i int, n int")
     each = many.select("doc_id", "mark", "i", "times", F.explode(F.arrow_udf(_windows, returnType="array<struct<k:int,x:bigint,y:bigint>>")("bytes")).alias("w")).select("doc_id", "mark", "i", "times", "w.*")
-    twice = each.groupBy("x", "y").agg(F.sum("times").alias("all")).filter("all > 1").select("x", "y")
+    twice = stored(each.groupBy("x", "y").agg(F.sum("times").alias("all")).filter("all > 1").select("x", "y"))
     by_hash = each.filter("times = 1").join(twice, ["x", "y"], "left_semi").select("doc_id", "mark", (F.col("i") + F.col("k")).cast("int").alias("i"), F.lit(1).alias("n"))
     whole = found.join(groups.filter("times > 1").select(*same), same, "left_semi").select("doc_id", "mark", "i", "n")
     return packs, whole.union(by_index).union(by_hash)
@@ -278,7 +279,8 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     packs, windows = repeated(df, id_column, text, crowd)
-    spans = windows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("i", "n")).alias("spans"))
+    # equal rows have the same windows, once
+    spans = windows.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("i", "n")).alias("spans"))
     both = packs.join(spans, packs["doc_id"].eqNullSafe(spans["doc_id"]) & (packs["mark"] == spans["mark"]), "left").select(packs["doc_id"], "pack", "spans")
     made = F.arrow_udf(_kept, returnType="n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")("pack", "spans.i", "spans.n")
     return both.select("doc_id", made.alias("made")).select("doc_id", "made.*")

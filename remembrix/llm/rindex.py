@@ -5,13 +5,16 @@ the text positions (samples) of their first and last rows. A text is streamed fr
 as the row of a suffix lies inside a run, the suffix one to the left has the same neighbour, one longer; only at
 the first (or last) row of a run the neighbour changes to what the sampled end of the previous (or the start of
 the next) run of that character points at, and the common prefix is measured. The longest match of a position
-with any other one is the longer of those with its two neighbours.
+with any other one is the longer of those with its two neighbours. Common prefixes are measured at the samples only,
+by hashes of slices from one running sum over the text: what is kept is the text, that sum, and the runs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from .hashing import mixed, powers
+
 
 class RunLengthIndex:
     """texts: byte strings. Positions count in the concatenation, whose text k begins at starts[k]."""
@@ -33,7 +36,7 @@ class RunLengthIndex:
         self._runs()
 
     def _sort(self, longest: int) -> None:
-        """The suffix order, by doubling; ranks of each depth are kept for common prefixes. A terminator is like no other."""
+        """The suffix order, by doubling. A terminator is like no other."""
         n, to_end = self.n, self.ends[self.owner] - np.arange(self.n)
         key, alive = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(self.PACK):
@@ -46,7 +49,7 @@ class RunLengthIndex:
         second = np.where(to_end < self.PACK, self.owner + 1, 0)[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, (key[order][1:] != key[order][:-1]) | (second[1:] != second[:-1])])
-        self.levels, depth = [(self.PACK, rank.astype(np.int32))], self.PACK
+        depth = self.PACK
         while depth < longest and rank.max(initial=-1) < n - 1:
             after = np.zeros(n, np.int64)
             after[:-depth] = rank[depth:] + 1
@@ -57,7 +60,6 @@ class RunLengthIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[0, both[1:] != both[:-1]])
             depth *= 2
-            self.levels.append((depth, rank.astype(np.int32)))
         self.array = order if len(order) else np.zeros(0, np.int64)
 
     def _runs(self) -> None:
@@ -72,15 +74,17 @@ class RunLengthIndex:
         del self.array
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of suffixes at positions a and b, which differ."""
-        out = np.zeros(len(a), np.int64)
-        for depth, rank in reversed(self.levels):
-            at_a, at_b = np.minimum(a + out, self.n - 1), np.minimum(b + out, self.n - 1)
-            out += np.where((rank[at_a] == rank[at_b]) & (at_a != at_b), depth, 0)
-        for _ in range(self.PACK - 1):
-            x, y = self.symbols[np.minimum(a + out, self.n)], self.symbols[np.minimum(b + out, self.n)]
-            out += (x == y) & (x > 0)
-        return out
+        """Lengths of the common prefixes of suffixes at positions a and b, which differ: by halving, up to the nearer end."""
+        power, inverse = powers(self.n)
+        sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(self.symbols[: self.n].astype(np.uint64) * power[: self.n], out=sums[1:])
+        slices = lambda at, size: mixed((sums[at + size] - sums[at]) * inverse[at])
+        low, high = np.zeros(len(a), np.int64), np.minimum(self.ends[self.owner[a]] - a, self.ends[self.owner[b]] - b)
+        while (open_ := low < high).any():
+            middle = (low + high + 1) >> 1
+            same = slices(a, middle) == slices(b, middle)
+            low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
+        return low
 
     def matching_statistics(self) -> np.ndarray:
         """At each position the length of the longest match of its suffix with any other one."""

@@ -67,3 +67,33 @@ def test_contexts_hold_every_window_once(sizes):
             assert np.array_equal(x[own], y)
         starts = [s for p, m in zip(i[own].tolist(), n[own].tolist(), strict=True) for s in range(p, p + m)]
         assert starts == list(range(max(0, len(t) - 199)))
+
+
+def test_long_text_in_stretches(monkeypatch):
+    """A text over the size of a stretch is cut with overlaps: each window once, with the anchor that it has anywhere."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 100, 5000).astype(np.uint8)
+    whole = rp.contexts(text)
+    anchor = {s: x for x, i, n in zip(whole[0].tolist(), whole[3].tolist(), whole[4].tolist(), strict=True) for s in range(i, i + n)}
+    for size in (200, 333, 1000, 4999):
+        monkeypatch.setattr(rp, "_CHUNK", size)
+        a, _, _, i, n = rp.contexts(text)
+        got = [(s, x) for x, p, m in zip(a.tolist(), i.tolist(), n.tolist(), strict=True) for s in range(p, p + m)]
+        assert got == sorted(anchor.items())
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long_ = "".join(rng.choices("abcdefghij ", k=1_200_000))
+    other = "".join(rng.choices("abcdefghij ", k=700_000))
+    texts = [long_, other[:300_000] + long_[600_000:600_400] + other[300_000:], "q" * 600_000, long_[5:5000]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in rp.remove_repeats(df).collect()}
+    assert got == {0: (1_200_000, 400 + 4995, 2), 1: (700_400, 400, 1), 2: (600_000, 600_000, 1), 3: (4995, 4995, 1)}
+
+
+def test_many_equal_rows(spark):
+    text = "".join(random.Random(1).choices("abcdefghij ", k=900))
+    df = spark.range(3000).selectExpr("7L AS doc_id", f"'{text}' AS text")
+    rows = rp.remove_repeats(df).collect()
+    assert len(rows) == 3000 and {(r.n_removed, r.n_spans) for r in rows} == {(900, 1)}
