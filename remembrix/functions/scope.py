@@ -23,6 +23,17 @@ class Scope:
         return F.when(agent != self.agent, F.coalesce(F.array_contains(shared, self.agent), F.lit(False))).otherwise(same_user)
 
 
+    def share_with(self, agents) -> dict:
+        """Fields of a memory in this scope that the agents may read too, each named once."""
+        return {"scope": self, "shared_with": list(dict.fromkeys(agents))}
+
+
+def row_can_read(reader: dict[str, Column], agent: Column, user: Column, session: Column, shared: Column) -> Column:
+    """The same for a reader that is a row itself: columns agent, user and session."""
+    same_user = user.isNull() | (F.coalesce(user == reader["user"], F.lit(False)) & (session.isNull() | F.coalesce(session == reader["session"], F.lit(False))))
+    return F.when(agent != reader["agent"], F.coalesce(F.array_contains(shared, reader["agent"]), F.lit(False))).otherwise(same_user)
+
+
 def to_key(agent: Column, user: Column, session: Column, shared: Column) -> Column:
     return F.concat_ws("|", agent, F.coalesce(user, F.lit("")), F.coalesce(session, F.lit("")), F.when(F.size(shared) > 0, F.array_join(shared, ",")))
 

@@ -90,6 +90,16 @@ def merge_tags(own: Column, extracted: Column) -> Column:
     return F.concat(own, F.filter(extracted, lambda t: ~F.array_contains(low, t)))
 
 
+def tags_with_sources(tags: Column, sources: Column) -> Column:
+    """Structs of tag and source; a tag without a source is the user's own."""
+    return F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.coalesce(F.get(sources, i), F.lit("user")).alias("source")))
+
+
+def split_tags(pairs: Column) -> tuple[Column, Column]:
+    """Tags and sources of what tags_with_sources() gives."""
+    return F.transform(pairs, lambda p: p["tag"]), F.transform(pairs, lambda p: p["source"])
+
+
 def append_tags(own: Column, new: Column) -> Column:
     """own, then each of new that is absent, once."""
     return F.concat(own, F.array_except(new, own))

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.hyper import BITS
-from .graph import kept
+from ..functions.scope import row_can_read
+from .graph import components, kept
 
 REDUNDANT, REINFORCES, SURPRISE, GROWN = 0.85, 0.65, 0.05, 30
 SHARED = 2
@@ -67,69 +69,144 @@ def linked(memories: DataFrame, least: int = SHARED) -> DataFrame:
     return found.select("id", "class_id", F.coalesce("linked", zero).alias("linked"), count("before"), count("after"))
 
 
-def shared_tag_pairs(new: DataFrame, old: DataFrame, least: int = SHARED) -> DataFrame:
-    """(a, b, shared): memories of new and others of old (or of new with a greater id) of one agent that share least tags or more.
+_SCOPE = {"user": "string", "session": "string", "shared_with": "array<string>"}
 
-    For the few memories that go in at a time; they meet only where they share a whole set of least tags.
+
+def _scoped(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in _SCOPE.items() if c not in df.columns})
+
+
+def _groups(buffer: DataFrame, graph: DataFrame, total: Column) -> tuple[DataFrame, DataFrame]:
+    """buffer and graph with a column _group: agents that share, directly or over others, are one group.
+
+    Verdicts look across agents in one more way: whether the whole graph has GROWN memories yet. A smaller one is folded as one group.
     """
-    keyed = lambda df: df.select("agent", "id", F.array_sort(F.array_distinct("tags")).alias("tags")).withColumn("key", F.explode(_tag_keys(F.col("tags"), least)))
-    a, own = keyed(new).select("agent", "key", F.col("id").alias("a"), F.col("tags").alias("ta")), new.select(F.col("id").alias("b")).distinct().withColumn("own", F.lit(True))
-    b = keyed(old.unionByName(new)).select("agent", "key", F.col("id").alias("b"), F.col("tags").alias("tb")).join(own, "b", "left")
-    met = a.join(b, ["agent", "key"]).filter((F.col("a") != F.col("b")) & (F.col("own").isNull() | (F.col("a") < F.col("b"))))
-    return met.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("shared")).distinct().filter(F.col("shared") >= least)
-
-
-def link_edges(pairs: DataFrame, memories: DataFrame) -> DataFrame:
-    """relates_to both ways for each pair, and before or after between events of different times."""
-    info = memories.select("id", "kind", "created_s")
-    a = info.select(F.col("id").alias("a"), F.col("kind").alias("ka"), F.col("created_s").alias("ca"))
-    b = info.select(F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("created_s").alias("cb"))
-    both = pairs.join(a, "a").join(b, "b")
-    related = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("relates_to").alias("kind")).union(both.select("b", "a", F.lit("relates_to")))
-    timed = both.filter("ka = 'event' AND kb = 'event' AND ca <> cb")
-    first, last = F.when(F.col("ca") < F.col("cb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ca") < F.col("cb"), F.col("b")).otherwise(F.col("a"))
-    return related.union(timed.select(first, last, F.lit("before"))).union(timed.select(last, first, F.lit("after"))).distinct()
+    shared = lambda df: df.select(F.col("agent").alias("a"), F.explode(F.concat(F.array("agent"), F.coalesce("shared_with", F.array().cast("array<string>")))).alias("b"))
+    names = components(shared(buffer).union(shared(graph)).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    named = lambda df: df.join(names.select(F.col("name").alias("agent"), "least"), "agent", "left").withColumn("_group", F.when(total >= GROWN, F.col("least")).otherwise(F.lit(""))).drop("least")
+    return named(buffer), named(graph)
 
 
-def consolidate(buffer: DataFrame, graph: DataFrame, group: str = "agent") -> DataFrame:
+def consolidate(buffer: DataFrame, graph: DataFrame, total: Column | None = None) -> DataFrame:
     """A row for each buffered memory: verdict, similarity and neighbour, and the salience and importance it goes in with.
 
-    Each verdict depends on those before it, so that a group (an agent, or agents that share) is folded in order of
-    seq. graph and buffer have group, id, vector, salience, importance; buffer also seq and supersedes.
+    Each verdict depends on those before it, so that a group of agents that share is folded in order of seq, in one task.
+    graph and buffer have agent, id, vector, salience, importance, and user, session and shared_with if scopes matter;
+    buffer also seq and supersedes. total: how many memories the whole graph has, active or not; by default graph's rows.
     """
+    buffer, graph = _scoped(buffer), _scoped(graph)
+    total = graph.agg(F.count("*")).scalar() if total is None else total
+    buffer, graph = _groups(buffer.withColumn("_total", total), graph, total)
 
     def fold(key: tuple, new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        names = ["agent", "id", "verdict", "similarity", "neighbour", "salience", "importance"]
+        if not len(new):
+            return pd.DataFrame({}, columns=names)
         unpacked = lambda column: np.stack([np.asarray(v, np.int64).view(np.uint64) for v in column]) if len(column) else np.zeros((0, BITS // 64), np.uint64)
+        text = lambda v: v if isinstance(v, str) else None
+        scope = lambda r: (text(r["agent"]), text(r["user"]), text(r["session"]), frozenset(r["shared_with"]) if r["shared_with"] is not None else frozenset())
+        known = known.sort_values("id") if len(known) else known
         size = len(known)
-        held = np.zeros((len(known) + len(new), BITS // 64), np.uint64)
+        held = np.zeros((size + len(new), BITS // 64), np.uint64)
         held[:size] = unpacked(known["vector"] if size else [])  # an empty side has no columns
         ids = known["id"].tolist() if size else []
-        out = []
-        if not len(new):
-            return pd.DataFrame({}, columns=["agent", "id", "verdict", "similarity", "neighbour", "salience", "importance"])
+        scopes = [scope(r) for r in known.to_dict("records")] if size else []
+        kinds = {}  # of each different scope a number, so that who may read it is asked once
+        numbers = np.zeros(size + len(new), np.int64)
+        numbers[:size] = [kinds.setdefault(s, len(kinds)) for s in scopes]
+        may: dict[tuple, bool] = {}
+
+        def can_read(reader: tuple, row: tuple) -> bool:
+            if (reader, row) not in may:
+                agent, user, session, shared = row
+                own = user is None or (user == reader[1] and (session is None or session == reader[2]))
+                may[reader, row] = reader[0] in shared if agent != reader[0] else own
+            return may[reader, row]
+
+        out, grown = [], 0
         ordered = new.sort_values(["seq", "id"])
         for row, vector in zip(ordered.to_dict("records"), unpacked(ordered["vector"]), strict=True):
+            mine = scope(row)
             similarity, near = 0.0, None
-            novel_by_link = row["supersedes"] is not None and not pd.isna(row["supersedes"])
-            if size and not novel_by_link:
-                distance = np.bitwise_count(held[:size] ^ vector).sum(1)
-                at = int(distance.argmin())
-                similarity, near = 1 - 2 * int(distance[at]) / BITS, ids[at]
-            kind = "novel" if novel_by_link or similarity < REINFORCES else "redundant" if similarity >= REDUNDANT else "reinforces"
+            replaces = row["supersedes"] is not None and not pd.isna(row["supersedes"])
+            if replaces:
+                similarity = 1.0
+            elif size:
+                seen = np.array([can_read(mine, s) for s in kinds])[numbers[:size]]
+                if seen.any():
+                    distance = np.where(seen, np.bitwise_count(held[:size] ^ vector).sum(1), BITS + 1)
+                    at = int(distance.argmin())
+                    similarity, near = 1 - 2 * int(distance[at]) / BITS, ids[at]
+            kind = "novel" if replaces or similarity < REINFORCES else "redundant" if similarity >= REDUNDANT else "reinforces"
             salience, importance = row["salience"], row["importance"]
             if kind == "novel":
-                if not novel_by_link and similarity < SURPRISE and size >= GROWN:
+                if similarity < SURPRISE and row["_total"] + grown >= GROWN:
                     salience, importance = "critical", 1.0
                 held[size] = vector
+                numbers[size] = kinds.setdefault(mine, len(kinds))
                 ids.append(row["id"])
-                size += 1
-            out.append((key[0], row["id"], kind, float(similarity), near, salience, float(importance)))
-        return pd.DataFrame(out, columns=["agent", "id", "verdict", "similarity", "neighbour", "salience", "importance"]).astype({"neighbour": "Int64"})
+                size, grown = size + 1, grown + 1
+            out.append((row["agent"], row["id"], kind, float(similarity), near, salience, float(importance)))
+        return pd.DataFrame(out, columns=names).astype({"neighbour": "Int64"})
 
     # written out: what stands above must not prune the columns that the fold reads
-    return kept(buffer.groupBy(group).cogroup(graph.groupBy(group)).applyInPandas(fold, _PASS))
+    return kept(buffer.groupBy("_group").cogroup(graph.groupBy("_group")).applyInPandas(fold, _PASS))
+
+
+def links(novel: DataFrame, old: DataFrame, least: int = SHARED) -> DataFrame:
+    """(a, b, ka, kb, ca, cb): each novel memory with those that were there before it, that it may read and that share least tags with it.
+
+    novel: the records, and seq, their order; old: the records. a is the novel one; k and c are kinds and times.
+    """
+    columns = ["id", "agent", "user", "session", "shared_with", "tags", "kind", "created_s"]
+    sides = _scoped(novel).select("seq", *columns), _scoped(old).select(F.lit(None).cast("bigint").alias("seq"), *columns).unionByName(_scoped(novel).select("seq", *columns))
+    tags = lambda df: df.withColumn("tags", F.array_sort(F.array_distinct("tags"))).withColumn("key", F.explode(_tag_keys(F.col("tags"), least)))
+    new = tags(sides[0]).select("key", *(F.col(c).alias(f"n_{c}") for c in ("seq", *columns)))
+    # who may read a memory at all: its agent and those it is shared with
+    there = tags(sides[1]).withColumn("reader", F.explode(F.array_distinct(F.concat(F.array("agent"), F.coalesce("shared_with", F.array().cast("array<string>"))))))
+    met = new.join(there, (new["key"] == there["key"]) & (new["n_agent"] == there["reader"]))
+    reader = {c: F.col(f"n_{c}") for c in ("agent", "user", "session")}
+    before = F.col("seq").isNull() | (F.struct("seq", "id") < F.struct(F.col("n_seq").alias("seq"), F.col("n_id").alias("id")))
+    seen = met.filter((F.col("n_id") != F.col("id")) & before & row_can_read(reader, F.col("agent"), F.col("user"), F.col("session"), F.col("shared_with")))
+    return seen.select(F.col("n_id").alias("a"), F.col("id").alias("b"), F.col("n_kind").alias("ka"), F.col("kind").alias("kb"), F.col("n_created_s").alias("ca"), F.col("created_s").alias("cb")).distinct()
+
+
+def edges_of(met: DataFrame) -> DataFrame:
+    """What links() gives as edges (src, dst, kind): relates_to both ways, and before and after between events of different times."""
+    related = met.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("relates_to").alias("kind")).union(met.select("b", "a", F.lit("relates_to")))
+    timed = met.filter("ka = 'event' AND kb = 'event' AND ca <> cb")
+    first, last = F.when(F.col("ca") < F.col("cb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ca") < F.col("cb"), F.col("b")).otherwise(F.col("a"))
+    return related.union(timed.select(first, last, F.lit("before"))).union(timed.select(last, first, F.lit("after"))).distinct()
 
 
-def report(passed: DataFrame) -> DataFrame:
-    count = lambda v: F.count_if(F.col("verdict") == v).alias(v)
-    return passed.agg(count("novel"), count("reinforces"), count("redundant"))
+def reinforced(memories: DataFrame, passed: DataFrame, buffer: DataFrame, now: int) -> DataFrame:
+    """memories after the verdicts: a neighbour of a redundant or reinforcing entry is accessed; a reinforced one also takes tags, importance and a version."""
+    hits = passed.filter("verdict <> 'novel'").select("id", "neighbour", (F.col("verdict") == "reinforces").alias("strong"))
+    entries = hits.join(buffer.select("id", "seq", "importance", "tags"), "id")
+    strong = F.col("strong")
+    sums = entries.groupBy("neighbour").agg(F.count("*").alias("_times"), F.count_if(strong).alias("_versions"), F.max(F.when(strong, F.col("importance"))).alias("_importance"))
+    tags = entries.filter("strong").select("neighbour", "seq", "id", F.posexplode("tags").alias("at", "tag"))
+    # each tag once, so that a list is as long as there are different tags
+    tags = tags.groupBy("neighbour", "tag").agg(F.min(F.struct("seq", "id", "at")).alias("first"))
+    tags = tags.groupBy("neighbour").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "tag"))), lambda x: x["tag"]).alias("_tags"))
+    joined = memories.join(sums.withColumnRenamed("neighbour", "id"), "id", "left").join(tags.withColumnRenamed("neighbour", "id"), "id", "left")
+    hit = F.col("_times").isNotNull()
+    return joined.withColumns(
+        {
+            "access_count": F.col("access_count") + F.coalesce("_times", F.lit(0)),
+            "accessed_s": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("accessed_s")),
+            "version": F.col("version") + F.coalesce("_versions", F.lit(0)),
+            "importance": F.greatest("importance", "_importance"),
+            "tags": F.when(F.col("_tags").isNull(), F.col("tags")).otherwise(text.append_tags(F.col("tags"), F.col("_tags"))),
+        }
+    ).select(memories.columns)
+
+
+def report(passed: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """processed, promoted, reinforced, dropped, and edges_created: two for each link, and two for each between events."""
+    count = lambda v, name: F.count_if(F.col("verdict") == v).alias(name)
+    out = passed.agg(F.count("*").alias("processed"), count("novel", "promoted"), count("reinforces", "reinforced"), count("redundant", "dropped"))
+    if met is None:
+        return out
+    made = met.agg((2 * F.count("*") + 2 * F.count_if((F.col("ka") == "event") & (F.col("kb") == "event"))).cast("bigint"))
+    return out.withColumn("edges_created", made.scalar())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +18,20 @@ CLUSTERING = ("relates_to", "supports", "derived_from", "caused_by")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder, without its lineage."""
+    """df as Parquet in the shared checkpoint folder, without its lineage.
+
+    A table knows its size; after checkpoint() Spark goes on with the size that it guessed for the plan, and in loops of
+    joins these guesses multiply until planning doesn't end.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "remembrix-checkpoints"))
-    return df.checkpoint()
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "remembrix-checkpoints"))  # one process: tests
+    table = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return df.sparkSession.read.schema(df.schema).parquet(table)
 
 
 def weight(kind: Column) -> Column:
@@ -59,16 +70,24 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataF
     return kept(seen)
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, hops: int | None = HOPS, activation: DataFrame | None = None, least: float = 1e-6) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, hops: int | None = HOPS, activation: DataFrame | None = None, least: float = 1e-6, salient: DataFrame | None = None) -> DataFrame:
     """(query_id, id, ppr) over each query's neighbourhood.
 
     A node without edges inside hands its rank to the explicit seeds, 1/K to each of them for K nodes.
-    seeds: query_id, id. activation: id, value, of which 0.15 goes into the seeds' distribution.
+    seeds: query_id, id. salient: id, of nodes that are seeds of every query too, but get no such rank. activation: id,
+    value, of which 0.15 goes into the seeds' distribution.
     """
-    local = neighbourhood(edges, seeds, hops if hops is not None else HOPS).select("query_id", "id")
+    own = seeds.select("query_id", "id").distinct()
+    every = own
+    if salient is not None:
+        # the queries of a block are few; they go to the salient nodes
+        every = own.union(salient.select("id").join(F.broadcast(own.select("query_id").distinct()), F.lit(True)).select("query_id", "id")).distinct()
+        every = kept(every)
+    local = neighbourhood(edges, every, hops if hops is not None else HOPS).select("query_id", "id")
     counted = local.withColumn("k", F.count("*").over(Window.partitionBy("query_id")))
-    marked = counted.join(seeds.select("query_id", "id").distinct().withColumn("seed", F.lit(1)), ["query_id", "id"], "left")
-    start = F.when(F.col("seed").isNotNull(), 1.0 / F.col("k")).otherwise(0.0)
+    marked = counted.join(own.withColumn("seed", F.lit(1)), ["query_id", "id"], "left")
+    marked = marked.join(every.withColumn("mark", F.lit(1)), ["query_id", "id"], "left")
+    start = F.when(F.col("mark").isNotNull(), 1.0 / F.col("k")).otherwise(0.0)
     if activation is not None:
         marked = marked.join(activation.select("id", "value"), "id", "left")
         start = start + 0.15 * F.coalesce("value", F.lit(0.0))
@@ -77,17 +96,16 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUN
     nodes = kept(marked.select("query_id", "id", "k", F.coalesce("seed", F.lit(0)).alias("seed"), F.when(total > 0, F.col("start") / total).otherwise(0.0).alias("start")))
     arcs = local.withColumnRenamed("id", "a").join(both_ways(unique_edges(edges)), "a").join(local.withColumnRenamed("id", "b"), ["query_id", "b"])
     arcs = arcs.groupBy("query_id", "a", "b").agg(F.sum("w").alias("w"))
-    arcs = kept(arcs.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("query_id", "a"))))
-    loose = kept(nodes.join(arcs.select("query_id", F.col("a").alias("id")).distinct(), ["query_id", "id"], "left_anti").select("query_id", "id"))
+    arcs = arcs.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("query_id", "a")))
+    # what a node without edges hands over is an arc to each explicit seed, of which a query has a few
+    loose = nodes.join(arcs.select("query_id", F.col("a").alias("id")).distinct(), ["query_id", "id"], "left_anti").select("query_id", F.col("id").alias("a"), "k")
+    hand = loose.join(nodes.filter("seed = 1").select("query_id", F.col("id").alias("b")), "query_id").select("query_id", "a", "b", (1.0 / F.col("k")).alias("w"))
+    arcs = kept(arcs.select("query_id", "a", "b", "w").union(hand))
     rank = nodes.withColumn("r", F.col("start"))
     for turn in range(rounds):
         moved = rank.select("query_id", F.col("id").alias("a"), "r").join(arcs, ["query_id", "a"]).groupBy("query_id", F.col("b").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("m"))
-        lost = rank.join(loose, ["query_id", "id"]).groupBy("query_id").agg(F.sum("r").alias("lost"))
-        rank = nodes.join(moved, ["query_id", "id"], "left").join(lost, "query_id", "left").select(
-            "query_id", "id", "k", "seed", "start",
-            ((1 - damping) * F.col("start") + damping * (F.coalesce("m", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("k") * F.col("seed"))).alias("r"),
-        )
-        if turn % 4 == 3:
+        rank = nodes.select("query_id", "id", "start").join(moved, ["query_id", "id"], "left").select("query_id", "id", ((1 - damping) * F.col("start") + damping * F.coalesce("m", F.lit(0.0))).alias("r"))
+        if turn % 5 == 4:
             rank = kept(rank)
     return rank.filter(F.col("r") > least).select("query_id", "id", F.col("r").alias("ppr"))
 
@@ -103,7 +121,7 @@ def global_pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, rounds
     rank = base.withColumn("r", F.col("s"))
     for turn in range(rounds):
         moved = rank.select(F.col("id").alias("a"), "r").join(arcs, "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("m"))
-        lost = rank.join(loose, "id").agg(F.sum("r")).first()[0] or 0.0
+        lost = F.coalesce(rank.join(loose, "id").agg(F.sum("r")).scalar(), F.lit(0.0))
         rank = base.join(moved, "id", "left").select("id", "s", ((1 - damping) * F.col("s") + damping * (F.coalesce("m", F.lit(0.0)) + lost * F.col("s"))).alias("r"))
         if turn % 4 == 3:
             rank = kept(rank)
@@ -135,6 +153,20 @@ def trajectory(edges: DataFrame, nodes: DataFrame, starts: DataFrame, limit: int
     return given.filter(F.col("position") <= max(limit, 1)).select("start", "id", "depth", "position")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(name, least) for every name in pairs (a, b): the least name of its component, by the least label around and that label's own label."""
+    both = kept(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = kept(both.select(F.col("a").alias("name")).distinct().withColumn("least", F.col("name")))
+    while True:
+        around = both.join(labels.select(F.col("name").alias("b"), "least"), "b").groupBy(F.col("a").alias("name")).agg(F.min("least").alias("near"))
+        lower = labels.join(around, "name").select("name", F.least("least", "near").alias("least"), F.col("least").alias("was"))
+        jump = lower.select(F.col("name").alias("least"), F.col("least").alias("next"))
+        new = kept(lower.join(jump, "least").select("name", F.least("least", "next").alias("least"), "was"))
+        labels = new.select("name", "least")
+        if new.filter("least <> was").isEmpty():
+            return labels
+
+
 def degree(edges: DataFrame, kinds: tuple[str, ...] = CLUSTERING) -> DataFrame:
     return edges.filter(F.col("kind").isin(*kinds)).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 

@@ -52,7 +52,8 @@ def tag_overlap(weights: DataFrame, tags: DataFrame) -> DataFrame:
     total = weights.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("times")).alias("total"))
     wide = weights.select("query_id", "word", "times", "idf", F.posexplode(text.variants(F.col("word"))).alias("order", "variant"))
     found = wide.join(tags.withColumnRenamed("word", "variant"), "variant")
-    # the word itself decides, else its first variant
+    # the word itself decides, else its first variant; a word in s that only its plural meets weighs 1
+    found = found.withColumn("weight", F.when(F.col("order") == 2, 1.0).otherwise(F.col("weight")))
     best = found.groupBy("query_id", "id", "word").agg(F.min_by("weight", "order").alias("weight"), F.max("times").alias("times"), F.max("idf").alias("idf"))
     held = best.groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("times") * F.col("weight")).alias("matched"))
     return held.join(total, "query_id").select("query_id", "id", F.when(F.col("total") >= 1e-6, F.col("matched") / F.col("total")).otherwise(0.0).alias("tag"))

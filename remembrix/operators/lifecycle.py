@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -68,6 +68,25 @@ def bounded_buffer(entries: DataFrame, capacity: int, scope: str = "agent", orde
     return ranked.filter(F.col("_rn") <= capacity).drop("_rn"), ranked.filter(F.col("_rn") > capacity).drop("_rn")
 
 
+def drain(entries: DataFrame, taken: Column) -> tuple[DataFrame, DataFrame]:
+    """What a predicate takes out of a buffer, and what stays; what it can't decide stays."""
+    hit = F.coalesce(taken, F.lit(False))
+    return entries.filter(hit), entries.filter(~hit)
+
+
+def update_vectors(memories: DataFrame, vectors: DataFrame) -> DataFrame:
+    """memories with the vectors of (id, vector) instead of their own; unknown ids are ignored."""
+    new = vectors.select("id", F.col("vector").alias("_vector"))
+    return memories.join(new, "id", "left").withColumn("vector", F.coalesce("_vector", "vector")).drop("_vector")
+
+
+def with_accesses(memories: DataFrame, accesses: DataFrame) -> DataFrame:
+    """memories with what accesses (id, at) add to access_count and accessed_s."""
+    seen = accesses.groupBy("id").agg(F.count("*").alias("_times"), F.max("at").alias("_at"))
+    joined = memories.join(seen, "id", "left")
+    return joined.withColumn("access_count", F.col("access_count") + F.coalesce("_times", F.lit(0))).withColumn("accessed_s", F.coalesce("_at", "accessed_s")).drop("_times", "_at")
+
+
 def _counted(tables: dict[str, DataFrame]) -> DataFrame:
     """One row with the number of rows of each table."""
     names = list(tables)

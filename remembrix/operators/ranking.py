@@ -62,6 +62,16 @@ def floored(df: DataFrame, partition: str = "query_id", score: str = "score") ->
     return df.withColumn("_top", top).filter((F.col("_top") <= 0.01) | (F.col(score) >= 0.25 * F.col("_top"))).drop("_top")
 
 
+def halved(df: DataFrame, partition: str = "query_id", score: str = "score", dense: str = "dense") -> DataFrame:
+    """Half the score for rows whose dense similarity is below 0.4 of the upper median, if that is above 0.15 and there are over two rows."""
+    w = Window.partitionBy(partition)
+    n = F.count("*").over(w)
+    ranked = df.withColumn("_at", F.row_number().over(w.orderBy(dense, "id"))).withColumn("_n", n)
+    middle = F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2) + 1, F.col(dense))).over(w)
+    low = (F.col("_n") > 2) & (F.col("_middle") > 0.15) & (F.col(dense) < F.col("_middle") * 0.4)
+    return ranked.withColumn("_middle", middle).withColumn(score, F.when(low, F.col(score) * 0.5).otherwise(F.col(score))).drop("_at", "_n", "_middle")
+
+
 def first_k(df: DataFrame, k: int, order: list[Column], partition: str = "query_id") -> DataFrame:
     """The first k of each partition; Spark prunes to k in each task before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(partition).orderBy(*order))).filter(F.col("_rn") <= k).drop("_rn")

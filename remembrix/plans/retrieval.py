@@ -349,17 +349,23 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns with odd ids as a buffer, in the order of their time, and the others as what is there."""
+    v = graph.kept(_vectors(spark, sf_dir))
+    return v.filter("id % 2 = 1").withColumn("seq", F.col("created_s")).withColumn("supersedes", F.lit(None).cast("bigint")), v.filter("id % 2 = 0")
+
+
 @query()
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = graph.kept(_vectors(spark, sf_dir))
-    known = v.filter("id % 2 = 0").select("agent", "id", "vector", "salience", "importance")
-    new = v.filter("id % 2 = 1").select("agent", "id", "vector", "salience", "importance", F.col("created_s").alias("seq"), F.lit(None).cast("bigint").alias("supersedes"))
-    return consolidation.consolidate(new, known)
+    return consolidation.consolidate(*_halves(spark, sf_dir))
 
 
 @query()
 def consolidation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidation.report(consolidate(spark, sf_dir))
+    new, known = _halves(spark, sf_dir)
+    passed = consolidation.consolidate(new, known)
+    novel = new.join(passed.filter("verdict = 'novel'").select("id"), "id", "left_semi")
+    return consolidation.report(passed, consolidation.links(novel, known))
 
 
 def _turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ HEBBIAN = ("preference", "decision")
 #: Traversal weights of edge kinds.
 EDGE_WEIGHT = {"caused_by": 5.0, "derived_from": 4.0, "supports": 3.0, "supersedes": 3.0, "before": 2.0, "after": 2.0, "relates_to": 1.0, "contradicts": 1.0}
 
-MEMORY = "id bigint, text string, tags array<string>, kind string, salience string, agent string, user string, session string, shared_with array<string>, importance double, created_s bigint, accessed_s bigint, access_count bigint, superseded_by bigint, token_count bigint, version bigint"
+MEMORY = "id bigint, text string, tags array<string>, kind string, salience string, agent string, user string, session string, shared_with array<string>, importance double, created_s bigint, accessed_s bigint, access_count bigint, superseded_by bigint, token_count bigint, version bigint, supersedes bigint, tag_sources array<string>, attributes map<string,struct<t:string,b:boolean,n:double,s:string,l:array<string>>>, vector array<bigint>"
 EDGE = "src bigint, dst bigint, kind string, seq bigint"
 
 #: The fixed time that queries take for now, in seconds.

@@ -220,12 +220,16 @@ def test_engine(spark):
     engine.remember([Draft(1, "We chose Postgres for the billing database", "decision", ["db", "billing"], me), Draft(2, "The billing service deploys on Fridays", "fact", ["billing", "deploy"], me), Draft(3, "Secret of another agent about Postgres", "fact", ["db"], scope.Scope("b"))], now=1000)
     engine.link([(2, 1, "caused_by"), (2, 1, "caused_by"), (2, 9, "supports")])
     assert engine.edges.count() == 2
+    hits = engine.recall([(0, "Which database did billing choose, Postgres?")], me, now=1500).collect()
+    assert {h.id for h in hits} == {1, 2} and all(h.from_buffer for h in hits)
+    assert engine.consolidate(1600).first().promoted == 3
     hits = engine.recall([(0, "Which database did billing choose, Postgres?")], me, now=2000).orderBy("pick").collect()
     assert hits[0].id == 1 and 3 not in [h.id for h in hits]
-    assert engine.get(1).first().access_count == 1
+    assert (engine.get(1).first().access_count, engine.get(1).first().accessed_s) == (1, 2000)
     assert engine.context(spark.createDataFrame(hits)).first().context.startswith("- We chose")
     engine.remember([Draft(4, "We moved billing to MySQL", "decision", ["db", "billing"], me, supersedes=1)], now=3000)
-    assert engine.get(1).first().superseded_by == 4
+    assert engine.get(1).first().superseded_by == 4 and engine.get(4).first().supersedes == 1
+    engine.consolidate(3100)
     assert [r.id for r in engine.trajectory(2, 5).collect()] == [2]
     engine.forget([2])
     engine.vacuum()
@@ -241,7 +245,7 @@ def test_engine(spark):
 
 def test_store(spark, tmp_path):
     s = store.ParquetStore(spark, str(tmp_path))
-    row = lambda i, text_, superseded=None: (i, text_, [], "fact", "routine", "a", None, None, [], 0.5, 0, 0, 0, superseded, 1, 1)
+    row = lambda i, text_, superseded=None: (i, text_, [], "fact", "routine", "a", None, None, [], 0.5, 0, 0, 0, superseded, 1, 1, None, [], {}, None)
     from remembrix.schema import MEMORY
 
     s.append(spark.createDataFrame([row(1, "old"), row(2, "x")], MEMORY), 0)

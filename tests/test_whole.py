@@ -9,16 +9,6 @@ from remembrix.operators import consolidation, graph, legacy, ranking
 from remembrix.schema import memories
 
 
-def test_links_by_pairs(spark):
-    """New memories meet old ones and each other, old ones don't meet again."""
-    rows = memories(spark, SF).select("id", "agent", "tags")
-    new, old = rows.filter("id % 5 = 0"), rows.filter("id % 5 <> 0")
-    all_ = rows.collect()
-    expected = {frozenset((x.id, y.id)) for x in all_ for y in all_ if x.id % 5 == 0 and x.id != y.id and x.agent == y.agent and len({*x.tags} & {*y.tags}) >= 2}
-    got = [frozenset((r.a, r.b)) for r in consolidation.shared_tag_pairs(new, old).collect()]
-    assert len(got) == len(expected) and {*got} == expected
-
-
 def test_linked_classes_with_several_tags(spark):
     made = [(i, f"a{i % 2}", [t for k, t in enumerate("pqrst") if i >> k & 1], ("event", "fact")[i % 3 == 0], i // 2 * 50_000) for i in range(64)]
     made += [(100, None, ["p", "q"], "event", 5), (101, None, ["q", "p", "p"], "event", 6)]
