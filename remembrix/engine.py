@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import attrs, hyper, text
@@ -95,11 +95,31 @@ class MemoryEngine:
         self.buffer = graph.kept(self.buffer.unionByName(new))
         if pairs := [(d.supersedes, d.id) for d in drafts if d.supersedes is not None]:
             self.supersede(pairs)
+        return self._after_arrivals(now)
+
+    def ingest(self, df: DataFrame, now: int) -> None:
+        """Add many memories at a time: df has id and text, and any other columns of the record; the rest gets the defaults of a draft."""
+        defaults = {
+            "tags": F.array().cast("array<string>"), "kind": F.lit("fact"), "salience": F.lit("routine"), "agent": F.lit("default"), "shared_with": F.array().cast("array<string>"), "importance": F.lit(0.5),
+            "created_s": F.lit(now).cast("bigint"), "accessed_s": F.lit(now).cast("bigint"), "access_count": F.lit(0).cast("bigint"), "token_count": text.token_estimate(F.col("text")), "version": F.lit(1).cast("bigint"),
+        }
+        kinds = {f.name: f.dataType for f in self._stored.schema.fields} if "vector" in self._stored.columns else {f.name: f.dataType for f in self.buffer.schema.fields}
+        full = df.withColumns({c: defaults.get(c, F.lit(None).cast(kinds[c])) for c in kinds if c not in df.columns and c != "seq"})
+        full = full.withColumn("vector", F.coalesce("vector", self._vector()))
+        # the order of arrival within a batch is that of time and id
+        order = F.row_number().over(Window.orderBy("created_s", "id"))
+        full = graph.kept(full.select(*(F.col(c).cast(kinds[c]).alias(c) for c in kinds if c != "seq"), (order - 1 + self._seq).cast("bigint").alias("seq")))
+        self._seq += full.count()
+        self.buffer = graph.kept(self.buffer.unionByName(full))
+        self._after_arrivals(now)
+
+    def _after_arrivals(self, now: int) -> DataFrame | None:
+        """Consolidation when it is due, and what a buffer that is still full has to let go."""
         if self.buffer.count() >= TRIGGER and (self._consolidated is None or now - self._consolidated >= COOLDOWN):
             self.consolidate(now)
-        held, gone = lifecycle.bounded_buffer(self.buffer.withColumn("_all", F.lit(0)), CAPACITY, "_all")
         if self.buffer.count() <= CAPACITY:
             return None
+        held, gone = lifecycle.bounded_buffer(self.buffer.withColumn("_all", F.lit(0)), CAPACITY, "_all")
         gone, self.buffer = graph.kept(gone.drop("_all").orderBy("seq")), graph.kept(held.drop("_all"))
         return gone
 

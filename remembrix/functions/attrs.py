@@ -19,6 +19,32 @@ def value(t: str, **fields: Column) -> Column:
     return F.struct(F.lit(t).alias("t"), *(fields.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in (("b", "boolean"), ("n", "double"), ("s", "string"), ("l", "array<string>"))))
 
 
+def from_json(text: Column) -> Column:
+    """A map of attributes from JSON with plain values; an empty one for what is no JSON object."""
+    held = F.coalesce(F.from_json(text, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+    def one(_: Column, v: Column) -> Column:
+        get = lambda kind: F.try_variant_get(v, "$", kind)
+        kind = F.schema_of_variant(v)
+        listed = kind.startswith("ARRAY")
+        name = F.when(kind == "BOOLEAN", "bool").when(kind == "STRING", "text").when(listed, "list").when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "number")
+        return F.struct(name.alias("t"), F.when(kind == "BOOLEAN", get("boolean")).alias("b"), F.when(name == "number", get("double")).alias("n"), F.when(kind == "STRING", get("string")).alias("s"), F.when(listed, get("array<string>")).alias("l"))
+
+    return F.transform_values(held, one)
+
+
+def plain_json(attributes: Column) -> Column:
+    """JSON with plain values from a map of attributes, keys in order."""
+    value = lambda v: F.when(v["t"] == "bool", v["b"].cast("string")).when(v["t"] == "number", F.to_json(F.array(v["n"])).substr(F.lit(2), F.length(F.to_json(F.array(v["n"]))) - 2)).when(v["t"] == "text", _quoted(v["s"])).otherwise(F.to_json(v["l"]))
+    pairs = F.array_sort(F.transform(F.map_keys(attributes), lambda k: F.concat(_quoted(k), F.lit(":"), value(F.element_at(attributes, k)))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def _quoted(text: Column) -> Column:
+    held = F.to_json(F.array(text))
+    return held.substr(F.lit(2), F.length(held) - 2)
+
+
 def _outcome(right_type: Column, holds: Column) -> Column:
     return F.when(~right_type, MISMATCH).when(holds, MATCH).otherwise(NO_MATCH)
 

@@ -149,3 +149,11 @@ def holds(gold: Column, context: Column) -> Column:
 
 def judged(score: Column) -> Column:
     return F.when(score >= 0.75, 1.0).when(score >= 0.25, 0.5).otherwise(0.0)
+
+
+def judge_answer(answer: Column) -> Column:
+    """A struct of score (0, 0.5 or 1) and reason from a model's answer: what lies from the first { to the last } as JSON; null and empty if it is none."""
+    held = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
+    parsed = F.from_json(held, "score double, reason string")
+    score = parsed["score"]
+    return F.struct(F.when(score.isNotNull(), judged(score)).alias("score"), F.when(score.isNotNull(), F.coalesce(parsed["reason"], F.lit(""))).otherwise("").alias("reason"))

@@ -84,7 +84,7 @@ def _groups(buffer: DataFrame, graph: DataFrame, total: Column) -> tuple[DataFra
     shared = lambda df: df.select(F.col("agent").alias("a"), F.explode(F.concat(F.array("agent"), F.coalesce("shared_with", F.array().cast("array<string>")))).alias("b"))
     names = components(shared(buffer).union(shared(graph)).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
     named = lambda df: df.join(names.select(F.col("name").alias("agent"), "least"), "agent", "left").withColumn("_group", F.when(total >= GROWN, F.col("least")).otherwise(F.lit(""))).drop("least")
-    return named(buffer), named(graph)
+    return kept(named(buffer)), kept(named(graph))  # apart from each other, wherever they came from
 
 
 def consolidate(buffer: DataFrame, graph: DataFrame, total: Column | None = None) -> DataFrame:

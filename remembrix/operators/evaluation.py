@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 
-def duplicate_stats(df: DataFrame, key: str, text: str) -> DataFrame:
+
+def duplicate_stats(df: DataFrame, key: str, column: str) -> DataFrame:
     """Of each key: lines, different ones, repeats, and their share."""
-    out = df.groupBy(key).agg(F.count(text).alias("lines"), F.countDistinct(text).alias("different"))
+    out = df.groupBy(key).agg(F.count(column).alias("lines"), F.countDistinct(column).alias("different"))
     return out.withColumn("repeats", F.col("lines") - F.col("different")).withColumn("rate", F.when(F.col("lines") > 0, F.col("repeats") / F.col("lines")).otherwise(0.0))
 
 
@@ -65,6 +67,36 @@ def judge_report(df: DataFrame, category: str, substring: str, judge: str) -> Da
     return out.withColumn("lift", F.col("judge") - F.col("substring"))
 
 
+def outcomes(picks: DataFrame, cases: DataFrame) -> DataFrame:
+    """query_id, category, expect_abstain, hit (gold in any pick), top (gold in the first), tokens, and right: hit, or for a case without an answer a verdict that isn't confident.
+
+    picks: query_id, pick, text, token_count, verdict. cases: query_id, category, gold, expect_abstain. A case without picks hits nothing.
+    """
+    found = cases.select("query_id", "gold").join(picks, "query_id")
+    holds = text.holds(F.col("gold"), F.coalesce("text", F.lit(""))) > 0
+    each = found.groupBy("query_id").agg(F.max(holds).alias("hit"), F.max(holds & (F.col("pick") == 0)).alias("top"), F.sum("token_count").alias("tokens"), F.max("verdict").alias("verdict"))
+    no = F.lit(False)
+    out = cases.join(each, "query_id", "left").withColumns({"hit": F.coalesce("hit", no), "top": F.coalesce("top", no), "tokens": F.coalesce("tokens", F.lit(0)).cast("bigint")})
+    right = F.when(F.col("expect_abstain"), F.coalesce("verdict", F.lit("abstained")) != "confident").otherwise(F.col("hit"))
+    return out.select("query_id", "category", "expect_abstain", "hit", "top", "tokens", right.alias("right"))
+
+
+def outcome_report(judged: DataFrame) -> DataFrame:
+    """Of each category and OVERALL: cases, hits, firsts, abstentions that are right, and tokens of a right first pick. OVERALL has the cases with an answer only."""
+    number = lambda c, name: F.count_if(c).alias(name)
+    asks = ~F.col("expect_abstain")
+    made = [F.count("*").alias("cases"), number(asks & F.col("hit"), "hits"), number(asks & F.col("top"), "firsts"), number(F.col("expect_abstain") & F.col("right"), "abstained"), F.sum("tokens").cast("bigint").alias("tokens")]
+    both = judged.groupBy("category").agg(*made).union(judged.filter(asks).agg(F.lit("OVERALL").alias("category"), *made).select("category", "cases", "hits", "firsts", "abstained", "tokens"))
+    return both.withColumn("tokens_per_first", F.col("tokens") / F.nullif(F.col("firsts"), F.lit(0)))
+
+
+def token_savings(picks: DataFrame, memories: DataFrame) -> DataFrame:
+    """query_id, used, naive (all memories' tokens), and the share that is saved."""
+    used = picks.groupBy("query_id").agg(F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint").alias("used"))
+    whole = memories.agg(F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint")).scalar()
+    return used.withColumn("naive", whole).withColumn("saved", F.when(F.col("naive") > 0, 1 - F.col("used") / F.col("naive")).otherwise(0.0))
+
+
 def summary(df: DataFrame, score: str, tokens: str) -> DataFrame:
     """Tasks, mean score, total and mean tokens, and tokens for each correct answer (null without any)."""
     right = F.count_if(F.col(score) >= 1.0)

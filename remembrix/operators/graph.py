@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_WEIGHT
@@ -17,19 +17,24 @@ ONWARD, BACKWARD = ("caused_by", "before", "derived_from"), ("after",)
 CLUSTERING = ("relates_to", "supports", "derived_from", "caused_by")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "remembrix-checkpoints"))  # one process: tests
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared checkpoint folder, without its lineage.
 
     A table knows its size; after checkpoint() Spark goes on with the size that it guessed for the plan, and in loops of
     joins these guesses multiply until planning doesn't end.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "remembrix-checkpoints"))  # one process: tests
-    table = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    table = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(table)
     return df.sparkSession.read.schema(df.schema).parquet(table)
 

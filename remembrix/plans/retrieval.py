@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hyper, scoring, text
-from ..operators import consolidation, evaluation, graph, lexical, ranking
+from ..operators import consolidation, evaluation, graph, lexical, lifecycle, ranking
 from ..schema import AS_OF, EDGES_SQL, MEMORIES_SQL, edges, memories, table
 from .recall import in_blocks, recall, similarities
 from .records import _EFFECTIVE, QUERY_WORDS_SQL, WORDS_SQL, _effective
@@ -122,8 +122,6 @@ def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, round(value - coalesce(nxt, 0), 6) AS margin FROM (SELECT user_id, value, lead(value) OVER w AS nxt, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id)) WHERE rn = 1")
 def top_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
     ranked = table(spark, sf_dir, "events").select("user_id", "value", F.lead("value").over(w).alias("next"), F.row_number().over(w).alias("rn"))
     return ranked.filter("rn = 1").select("user_id", F.round(F.col("value") - F.coalesce("next", F.lit(0.0)), 6).alias("margin"))
@@ -480,13 +478,98 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id AS evicted FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 20")
 def streaming_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream of events pushes out of each user's buffer of twenty."""
-    from ..streaming.buffer import evictions, run_to_memory
+    from ..streaming.buffer import evictions, run_to_table
+
+    return run_to_table(evictions(_event_stream(spark, sf_dir).select("user_id", "event_id", "ts"), 20))
 
-    schema = table(spark, sf_dir, "events").schema
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the reader takes folders and patterns
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    out = run_to_memory(evictions(stream.select("user_id", "event_id", "ts"), 20), f"evicted_{uuid.uuid4().hex}")
-    return out.select("user_id", "evicted")
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+_FADE = "0.5::DOUBLE * greatest(0.05::DOUBLE, CASE WHEN o.u <= w.u THEN 1.0::DOUBLE ELSE pow(0.5::DOUBLE, (o.u - w.u) / 1e6::DOUBLE / 30.0::DOUBLE) END)"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS u, value / 777 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id, event_id, u, k, least(1.0::DOUBLE, r) AS v FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.u, o.k, least(1.0::DOUBLE, r + CASE WHEN v * {_FADE} > 1e-4 THEN v * {_FADE} ELSE 0 END) FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
+SELECT user_id, event_id, round(v, 6) AS value FROM w""")
+def streaming_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's activation after each of its ranks, from a stream of ranks."""
+    from ..streaming.buffer import activation, run_to_table
+
+    ranks = _event_stream(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("value") / 777).alias("rank"))
+    return run_to_table(activation(ranks)).select("user_id", "event_id", F.round("value", 6).alias("value"))
+
+
+@query()
+def streaming_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on a stream of turns against a history that is there."""
+    from ..streaming.buffer import consolidate_batches, verdicts_into
+
+    new, known = _halves(spark, sf_dir)
+    folder = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    new.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(new.schema).parquet(f"{folder}/in")
+    consolidate_batches(stream, verdicts_into(known, f"{folder}/out"), f"{folder}/state", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("SELECT event_type AS category, count(*) AS tasks, count(j) AS judged, round(avg(s), 6) AS substring, round(avg(j), 6) AS judge, round(avg(j) - avg(s), 6) AS lift FROM (SELECT event_type, CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE 0.0 END AS s, CASE WHEN event_id % 7 = 0 THEN NULL WHEN value / 100 >= 0.75 THEN 1.0::DOUBLE WHEN value / 100 >= 0.25 THEN 0.5 ELSE 0.0 END AS j FROM events) GROUP BY 1")
+def judge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged answers by category: every seventh event stands for an answer that is no JSON."""
+    answer = F.when(F.col("event_id") % 7 == 0, "sorry").otherwise(F.concat(F.lit('Here: {"score": '), F.col("value") / 100, F.lit(', "reason": "r"} ok')))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("category"), F.when(F.col("value") >= 50, 1.0).otherwise(0.0).alias("substring"), text.judge_answer(answer)["score"].alias("judge"))
+    return evaluation.judge_report(rows, "category", "substring", "judge").select("category", "tasks", "judged", *(F.round(c, 6).alias(c) for c in ("substring", "judge", "lift")))
+
+
+_PICKED_SQL = f"{_FUSED_SQL}, picked AS (SELECT query_id, id, token_count, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_s DESC, id) - 1 AS pick FROM floored QUALIFY pick < 10)"
+
+
+def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = minimum_slice_frame(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_s"), "id")) - 1
+    return best.withColumn("pick", place).join(memories(spark, sf_dir).select("id", "text"), "id").select("query_id", "id", "pick", "text", "token_count", F.lit("confident").alias("verdict"))
+
+
+@query(f"""{_PICKED_SQL}, cases AS (SELECT item_id AS query_id, 'c' || (item_id % 4) AS category, substr(text, 5, 30) AS gold, item_id % 9 = 0 AS expect_abstain FROM benchmark),
+judged AS (SELECT c.query_id, c.category, c.expect_abstain, coalesce(bool_or(contains(lower(m.text), lower(trim(c.gold)))), false) AS hit, coalesce(bool_or(contains(lower(m.text), lower(trim(c.gold))) AND p.pick = 0), false) AS top, CAST(coalesce(sum(p.token_count), 0) AS BIGINT) AS tokens, count(p.id) = 0 AS none
+  FROM cases c LEFT JOIN picked p ON p.query_id = c.query_id LEFT JOIN mem m ON m.id = p.id GROUP BY 1, 2, 3),
+both_ AS (SELECT category, * EXCLUDE (category, query_id) FROM judged UNION ALL SELECT 'OVERALL', * EXCLUDE (category, query_id) FROM judged WHERE NOT expect_abstain)
+SELECT category, count(*) AS cases, count(*) FILTER (hit AND NOT expect_abstain) AS hits, count(*) FILTER (top AND NOT expect_abstain) AS firsts, count(*) FILTER (expect_abstain AND none) AS abstained, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) / nullif(count(*) FILTER (top AND NOT expect_abstain), 0), 6) AS tokens_per_first FROM both_ GROUP BY 1""")
+def hit_and_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, first places and abstentions by category, of the lexical picks for items whose own words are the gold."""
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("c"), F.col("item_id") % 4).alias("category"), F.substring("text", 5, 30).alias("gold"), (F.col("item_id") % 9 == 0).alias("expect_abstain"))
+    return evaluation.outcome_report(evaluation.outcomes(_picked(spark, sf_dir), cases)).withColumn("tokens_per_first", F.round("tokens_per_first", 6))
+
+
+@query(f"{_PICKED_SQL} SELECT query_id, CAST(sum(token_count) AS BIGINT) AS used, (SELECT CAST(sum(token_count) AS BIGINT) FROM mem) AS naive, round(1 - sum(token_count) / (SELECT sum(token_count) FROM mem), 6) AS saved FROM picked GROUP BY 1")
+def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.token_savings(_picked(spark, sf_dir), memories(spark, sf_dir)).withColumn("saved", F.round("saved", 6))
+
+
+@query("SELECT user_id, event_id, event_type = 'error' AS taken FROM events")
+def drain_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, rest = lifecycle.drain(table(spark, sf_dir, "events"), F.col("event_type") == "error")
+    both = taken.withColumn("taken", F.lit(True)).unionByName(rest.withColumn("taken", F.lit(False)))
+    return both.select("user_id", "event_id", "taken")
+
+
+@query("SELECT doc_id, array_to_string(list_transform(range(1, len(t) + 1), lambda i: t[i] || '/' || CASE WHEN i = 1 AND doc_id % 2 = 0 THEN 'auto' ELSE 'user' END), ',') AS tags FROM (SELECT doc_id, [lang, source] AS t FROM documents)")
+def tag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags with their sources; a tag without one is the user's own."""
+    docs = table(spark, sf_dir, "documents")
+    sources = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("auto"))).otherwise(F.array().cast("array<string>"))
+    pairs = text.tags_with_sources(F.array("lang", "source"), sources)
+    return docs.select("doc_id", F.array_join(F.transform(pairs, lambda p: F.concat_ws("/", p["tag"], p["source"])), ",").alias("tags"))
+
+
+@query(f"{M} SELECT id, CASE WHEN id % 6 = 0 THEN hex(CAST(id AS BIGINT)) ELSE hex(CAST(id * 3 AS BIGINT)) END AS vector FROM mem")
+def update_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors replaced for some ids; unknown ones are ignored."""
+    own = memories(spark, sf_dir).select("id", F.array(F.col("id") * 3).alias("vector"))
+    new = own.filter("id % 6 = 0").select("id", F.array("id").alias("vector")).union(spark.createDataFrame([(-5, [1])], "id bigint, vector array<bigint>"))
+    return lifecycle.update_vectors(own, new).select("id", _hex(F.col("vector")).alias("vector"))
 
 
 _LEGACY_SQL = _global_sql(20).replace("round(r, 6) AS ppr FROM r20 WHERE r > 1e-5", "round(CASE WHEN id % 7 = 0 THEN 1.0 ELSE 0.3 END * (1 + 10 * r) * (0.5 + 0.5 * (id % 10) / 10.0), 6) AS score FROM r20")

@@ -29,8 +29,9 @@ class ParquetStore:
         return graph.unique_edges(self.spark.read.schema(EDGE).parquet(f"{self.path}/edges"))
 
     def readable(self, scope) -> DataFrame:
-        """What a scope may read, decided at the scan."""
-        return self.memories().filter(scope.can_read())
+        """What a scope may read. Rows of other agents that aren't shared go before the latest of each id is found: an id doesn't change its agent or sharing."""
+        log = self.spark.read.schema(f"{MEMORY}, seq bigint").parquet(f"{self.path}/memories")
+        return lifecycle.latest(log.filter(scope.can_read())).drop("seq")
 
     def hydrated(self) -> tuple[DataFrame, DataFrame]:
         """Active memories, and edges between them."""
