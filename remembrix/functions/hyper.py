@@ -49,9 +49,19 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 @lru_cache(1 << 16)
-def _bits(token: str) -> np.ndarray:
+def _packed(token: str) -> bytes:
+    """A token's vector in 256 bytes, the lowest bit first."""
     data = b"".join(hashlib.md5(f"{token}#{k}".encode("utf-8", "surrogatepass")).digest() for k in range(DIGESTS))
-    return np.unpackbits(np.frombuffer(data, ">u8").astype("<u8").view(np.uint8), bitorder="little").astype(np.int32)
+    return np.frombuffer(data, ">u8").astype("<u8").tobytes()
+
+
+def _bits(tokens: list[str]) -> np.ndarray:
+    """A row of bits for each token."""
+    return np.unpackbits(np.frombuffer(b"".join(map(_packed, tokens)), np.uint8).reshape(len(tokens), -1), axis=1, bitorder="little")
+
+
+#: Tokens whose bits are unpacked at a time.
+BLOCK = 512
 
 
 def _lanes(bits: np.ndarray) -> np.ndarray:
@@ -89,10 +99,13 @@ def components(text: str, tags: list[str]) -> dict[object, int]:
 
 def fingerprint_of(text: str | None, tags: list[str] | None) -> list[int]:
     votes = components(text or "", tags or [])
-    total = np.zeros(BITS, np.int64)
-    for key, n in votes.items():
-        bits = np.roll(_bits(key[0]), -1) ^ _bits(key[1]) if isinstance(key, tuple) else _bits(key)
-        total += n * bits
+    total, keys = np.zeros(BITS), list(votes)
+    for at in range(0, len(keys), BLOCK):
+        part = keys[at : at + BLOCK]
+        bits = _bits([k[1] if isinstance(k, tuple) else k for k in part])
+        if pairs := [i for i, k in enumerate(part) if isinstance(k, tuple)]:
+            bits[pairs] ^= np.roll(_bits([part[i][0] for i in pairs]), -1, axis=1)
+        total += np.array([votes[k] for k in part], np.float64) @ bits
     return _lanes(majority(total, sum(votes.values()))).tolist()
 
 

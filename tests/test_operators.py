@@ -78,12 +78,12 @@ def test_hypervectors(spark):
     a, b = (hyper.of_token(F.lit(t)) for t in ("alpha", "beta"))
     got = spark.range(1).select(hyper.bind(hyper.bind(a, b), b).alias("back"), a.alias("a"), hyper.permute(a).alias("turned"), hyper.similarity(a, b).alias("far")).first()
     assert got.back == got.a and abs(got.far) < 0.15
-    bits = hyper._bits("alpha")
+    bits = hyper._bits(["alpha"])[0].astype(np.int32)
     assert hyper._lanes(bits).tolist() == got.a and hyper._lanes(np.roll(bits, -1)).tolist() == got.turned
     one, near, other = (hyper.fingerprint_of(t, []) for t in ("the database runs on postgres in production", "the database runs on postgres in the production", "completely unrelated cooking recipe with garlic"))
     same = lambda x, y: 1 - 2 * int(np.bitwise_count(np.array(x) ^ np.array(y)).sum()) / hyper.BITS
     assert same(one, one) == 1 and same(one, near) > 0.5 > same(one, other)
-    votes = np.stack([hyper._bits(t) for t in "abcd"])
+    votes = hyper._bits(list("abcd")).astype(np.int32)
     rows = spark.createDataFrame([(1, hyper._lanes(v).tolist()) for v in votes], "g int, vector array<bigint>")
     assert hyper.bundle(rows, ["g"]).first().vector == hyper._lanes(hyper.majority(votes.sum(0), 4)).tolist()
 
