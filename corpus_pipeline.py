@@ -36,7 +36,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keys = common.cut(docs.select("doc_id", row.alias("row"), simhash.fingerprint(F.col("text")).alias("fp")))
     found = keys.join(simhash.classes(keys).select("fp", "root"), "fp").groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
     key = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
-    found = common.cut(found.join(found.groupBy("root").agg(F.min(key).alias("best")), "root").select("doc_id", "row", "n", (key == F.col("best")).alias("kept")))
+    found = common.cut(found)
+    # written out before the join, so that Spark can split the rows of a component that holds much of the table
+    best = common.cut(found.groupBy("root").agg(F.min(key).alias("best")))
+    found = common.cut(found.join(best, "root").select("doc_id", "row", "n", (key == F.col("best")).alias("kept")))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row"))
     rest = docs.withColumn("_hash", row)
     rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone["_doc_id"]) & (rest["_hash"] == gone["_row"]), "left_anti")

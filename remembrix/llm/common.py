@@ -35,19 +35,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
+    """df as Parquet in the shared checkpoint folder: its lineage ends there, so that a lost executor costs no recomputation.
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), for large tables: as Parquet files in the shared checkpoint folder, columnar and compressed."""
+    A table knows its size; after checkpoint() Spark goes on with the size that it guessed for the plan, and in loops of
+    joins these guesses multiply until planning doesn't end.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: The same, for tables of the size of the input.
+stored = cut
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
     """Consecutive slices of about limit bytes, one row at least."""
     if not len(texts):

@@ -70,7 +70,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect just what pairs at BITS or fewer bits connect. nodes: distinct fingerprints in fp."""
     masks = _masks()
     keyed = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("block", "key"))
-    sizes = keyed.groupBy("block", "key").count().filter("count > 1")
+    sizes = cut(keyed.groupBy("block", "key").count().filter("count > 1"))
     shared = cut(keyed.join(sizes, ["block", "key"]))
     few, crowd = shared.filter(F.col("count") <= CROWD), shared.filter(F.col("count") > CROWD)
     pairs = few.select("block", "key", F.col("fp").alias("a")).join(few.select("block", "key", F.col("fp").alias("b")), ["block", "key"])
@@ -110,7 +110,8 @@ def classes(rows: DataFrame) -> DataFrame:
     roots = components(links(nodes.select("fp")))
     named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written out before the join, so that Spark can split the rows of a component that holds much of the table
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return named.join(least, "root").select("fp", "root", "component_id")
 
 

@@ -43,6 +43,8 @@ class PieceVocabulary:
                 pieces[model.id_to_piece(i)] = model.get_score(i)
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece crosses a word boundary, so that words can't be counted alone")
+        if any("\n" in p and len(p) > 1 for p in pieces):
+            raise ValueError("a piece crosses a line feed, so that lines can't be counted alone")
         self.symbols = {s: i for i, s in enumerate(dict.fromkeys([*pieces, *(c for p in pieces for c in p)]))}
         #: Tokens that a symbol counts as when it survives.
         self.weight = np.array([1 if s in pieces else len(s.encode()) for s in self.symbols], np.int64)
