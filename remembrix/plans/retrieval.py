@@ -47,8 +47,9 @@ tag AS (SELECT query_id, id, CASE WHEN max(total) >= 1e-6 THEN sum(idf * times *
 def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     live = memories(spark, sf_dir).filter("superseded_by IS NULL")
     terms = lexical.query_terms(_queries(spark, sf_dir))
-    hits = lexical.term_hits(terms, lexical.postings(live))
-    return live, terms, hits, lexical.term_idf(terms, hits, live.agg(F.count("*")).scalar())
+    # written out, as frequencies and overlaps are both made of them and the texts are long
+    hits = graph.kept(lexical.term_hits(terms, lexical.postings(live)))
+    return live, terms, hits, graph.kept(lexical.term_idf(terms, hits, live.agg(F.count("*")).scalar()))
 
 
 @query(f"{_LEXICAL_SQL} SELECT query_id, word, times, df FROM dfs")
@@ -464,11 +465,13 @@ SELECT query_id, id, round(bm25, 6) AS bm25 FROM s QUALIFY row_number() OVER (PA
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older full-text index: BM25 over an inverted table, the best ten."""
     live = memories(spark, sf_dir).filter("superseded_by IS NULL").select("id", text.words(F.col("text")).alias("words"))
-    size = live.select("id", F.size("words").alias("n"))
-    n, mean = size.agg(F.count("*")).scalar(), size.agg(F.avg("n")).scalar()
     asked = lexical.query_terms(_queries(spark, sf_dir)).select("query_id", "word")
-    tf = live.select("id", F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("tf"))
-    hits = tf.join(asked, "word")
+    # one pass over the texts: how often each asked word stands in a memory, and all other words together
+    wanted = asked.select("word").distinct().withColumn("asked", F.col("word"))
+    counts = graph.kept(live.select("id", F.explode_outer("words").alias("word")).join(wanted, "word", "left").groupBy("id", F.col("asked").alias("word")).agg(F.count("word").alias("tf")))
+    size = counts.groupBy("id").agg(F.sum("tf").alias("n"))
+    n, mean = size.agg(F.count("*")).scalar(), size.agg(F.avg("n")).scalar()
+    hits = counts.filter("word IS NOT NULL").join(asked, "word")
     df = hits.groupBy("query_id", "word").agg(F.count("*").alias("df"))
     part = scoring.idf(n, F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / mean))
     scored = hits.join(df, ["query_id", "word"]).join(size, "id").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
