@@ -252,14 +252,17 @@ _windows.__annotations__ = {"data": pa.Array, "return": pa.Array}
 
 
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, mark, pack: the text compressed) and their repeated windows (doc_id, mark, i: first start, n: how many)."""
+    """The rows (doc_id, mark, pack: the text compressed) and their repeated windows (doc_id, mark, i: first start, n: how many, way: found as whole contexts, by the index or by hashes)."""
     rows = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     found = stored(rows.select("doc_id", "mark", F.explode(anchored(F.col("text"))).alias("x")).select("doc_id", "mark", "x.*"))
     same = ["a", "c", "d"]
-    groups = stored(found.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "i", "n")).alias("at")))
+    groups = stored(found.groupBy(*same).agg(F.count("*").alias("times")))
     # anchors with several contexts, of which one occurs once
     mixed_ = stored(groups.groupBy("a").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 AND least = 1").select("a", "kinds"))
-    need = groups.join(mixed_, "a").select("a", "times", "kinds", "at.*")
+    wanted = stored(groups.join(mixed_, "a", "left").filter("times > 1 OR kinds IS NOT NULL"))
+    met = stored(found.join(wanted, same))
+    # of contexts that have to be compared one place each
+    need = met.filter("kinds IS NOT NULL").groupBy(*same).agg(F.max("times").alias("times"), F.max("kinds").alias("kinds"), F.min(F.struct("doc_id", "mark", "i", "n")).alias("at")).select("a", "times", "kinds", "at.*")
     places = need.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "times", "kinds", "i", "n")).alias("held"))
     packs = rows.select("doc_id", "mark", packed(F.col("text")).alias("pack"))
     one = packs.join(places, packs["doc_id"].eqNullSafe(places["doc_id"]) & (packs["mark"] == places["mark"])).select(places["doc_id"], places["mark"], "pack", "held")
@@ -272,8 +275,9 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd
     each = many.select("doc_id", "mark", "i", "times", F.explode(F.arrow_udf(_windows, returnType="array<struct<k:int,x:bigint,y:bigint>>")("bytes")).alias("w")).select("doc_id", "mark", "i", "times", "w.*")
     twice = stored(each.groupBy("x", "y").agg(F.sum("times").alias("all")).filter("all > 1").select("x", "y"))
     by_hash = each.filter("times = 1").join(twice, ["x", "y"], "left_semi").select("doc_id", "mark", (F.col("i") + F.col("k")).cast("int").alias("i"), F.lit(1).alias("n"))
-    whole = found.join(groups.filter("times > 1").select(*same), same, "left_semi").select("doc_id", "mark", "i", "n")
-    return packs, whole.union(by_index).union(by_hash)
+    whole = met.filter("times > 1").select("doc_id", "mark", "i", "n")
+    found_by = lambda df, way: df.withColumn("way", F.lit(way))
+    return packs, found_by(whole, "whole").union(found_by(by_index, "index")).union(found_by(by_hash, "hash"))
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
