@@ -84,19 +84,23 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (a, b): contraction to the least neighbour, round by round, until no edge is left.
+    """node, root for every node of edges (a, b): the same root, one of its nodes, all over a component.
 
-    Each round maps a vertex to its parent's parent and keeps the edges between what is left; every vertex that
-    still has an edge goes or takes a neighbour in, so that rounds grow as the logarithm of a component's size.
+    In each round a vertex goes to the neighbour that comes first in an order that a hash deals anew, or stays if it comes
+    first itself, and then to where that one goes; the edges between what is left are kept. A new order each time, as
+    along a path that a fixed one sorts only its end would move: like this a constant part of the vertices goes in a
+    round, so that rounds grow as the logarithm of a component's size.
     """
     edges = cut(edges)
     roots = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
+    turn = 0
     while not edges.isEmpty():
+        turn += 1
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        parent = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p"))
-        parent = cut(parent)
-        jump = parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.col("pp").alias("p"))
-        jump = cut(jump)
+        first = both.groupBy("a").agg(F.min(order("b")).alias("near"))
+        parent = cut(first.select(F.col("a").alias("v"), F.least(order("a"), F.col("near"))["v"].alias("p")))
+        jump = cut(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.col("pp").alias("p")))
         roots = cut(roots.join(jump, roots["root"] == jump["v"], "left").select("node", F.coalesce("p", "root").alias("root")))
         a, b = jump.select(F.col("v").alias("a"), F.col("p").alias("pa")), jump.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(a, "a").join(b, "b").filter("pa <> pb")

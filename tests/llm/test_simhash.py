@@ -72,3 +72,21 @@ def test_nulls_repeats_and_clashes(spark):
     assert got == ["(3, False, 3)", "(3, False, 3)", "(8, True, 8)", "(9, True, 8)", "(None, False, 3)", "(None, False, None)"]
     assert sh.near_duplicates(df.limit(0)).collect() == []
     assert df.select(sh.hexadecimal(F.lit(-1).cast("bigint")).alias("x")).first().x == "f" * 16
+
+
+def test_very_long_texts(spark):
+    texts = ["lorem ipsum dolor sit " * 100_000, "x" * 2_000_000, "lorem ipsum dolor sit " * 100_001, " \n" * 500_000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sh.near_duplicates(df).collect()}
+    assert [got[i].fp & (2**64 - 1) for i in range(5)] == [brute_fingerprint(t) for t in texts]
+    assert [got[i].component_id for i in range(5)] == [0, 1, 0, 3, 3]
+
+
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """Components of a path in the order of its names: rounds grow as the logarithm of its length, and planning stays quick."""
+    written = []
+    monkeypatch.setattr(sh, "cut", lambda df, cut=sh.cut: written.append(1) or cut(df))
+    edges = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    roots = sh.components(edges).collect()
+    assert len(roots) == 2001 and len({r.root for r in roots}) == 1
+    assert len(written) <= 1 + 4 * 14

@@ -51,3 +51,10 @@ def test_nulls_repeats_and_clashes(spark):
     df = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (None, None, None), (2, "", 0)], "doc_id long, text string, n_tokens int")
     assert sorted((str(r.doc_id), r.n_tokens) for r in tc.count_tokens(df, PATH).collect()) == [("1", 2), ("1", 2), ("2", 0), ("None", 0)]
     assert tc.count_tokens(df.limit(0), PATH).collect() == []
+
+
+def test_very_long_texts(spark):
+    texts = ["x" * 300_000, "hello world " * 100_000, "é😀" * 50_000 + " a", " " * 200_000, "\n" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tc.count_tokens(df, PATH).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
