@@ -88,6 +88,22 @@ def test_hypervectors(spark):
     assert hyper.bundle(rows, ["g"]).first().vector == hyper._lanes(hyper.majority(votes.sum(0), 4)).tolist()
 
 
+@pytest.mark.parametrize(("words", "tags"), [("", []), ("ab", ["x"]), ("The quick brown fox, the Fox!", ["a", "a"]), ("é ß_x 12 a", []), ("one two three " * 300, ["t"])])
+def test_fingerprints_by_hand(words, tags):
+    """Vote by vote: tags 3, words 2, pairs of words 2, trigrams 1; a tie sets odd bits."""
+    bits = lambda t: hyper._bits([t])[0].astype(int)
+    own = [w for w in ("".join(c for c in raw if c.isalnum() or c == "_").lower() for raw in words.split()) if len(w.encode()) >= 2]
+    votes = [bits(f"tag::{t}") for t in tags for _ in range(3)]
+    votes += [bits(f"word::{w}") for w in own if w not in hyper.FINGERPRINT_STOPWORDS for _ in range(2)]
+    votes += [np.roll(bits(f"word::{a}"), -1) ^ bits(f"word::{b}") for a, b in zip(own, own[1:]) for _ in range(2)]  # noqa: B905
+    low = words.lower()
+    votes += [bits(f"tri::{low[i : i + 3]}") for i in range(len(low) - 2)] if len(low) >= 3 else [bits(low)] if low else []
+    votes = votes or [bits(words)]
+    total = np.sum(votes, axis=0)
+    expected = [int(2 * t > len(votes) or (2 * t == len(votes) and i % 2 == 1)) for i, t in enumerate(total)]
+    assert hyper.fingerprint_of(words, tags) == hyper._lanes(np.array(expected)).tolist()
+
+
 def test_selection_and_verdict(spark):
     row = lambda s, tags=(), tokens=10: {"score": s, "tags": tags, "tokens": tokens, "recency": 0, "fresh": False}
     assert ranking.select_diverse([row(3, ("a",)), row(2.2, ("a",)), row(2.1, ("b",)), row(1, ("c",))], 100, 0.7) == [0, 2, 1, 3]
