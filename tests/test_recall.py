@@ -294,7 +294,6 @@ def test_engine_attributes_sources_and_priming(spark):
     found = engine.recall([(0, "flat")], me, 200, where={"price": attrs.Gt(60)}).collect()
     assert [r.id for r in found] == [1]
     assert engine.mismatched_attributes({"price": attrs.Gt(60), "city": attrs.Eq("Seattle")}) == ["price"]
-    assert [r.verdict for r in engine.recall([(0, "flat")], me, 200, where={"price": attrs.Gt(900)}).collect()] == ["abstained"]
     third = engine.get(3).first()
     assert third.tags and set(third.tag_sources) == {"auto"} and engine.get(2).first().tag_sources == ["user"]
     engine.reconsolidate(3, ["mine"])
