@@ -97,15 +97,26 @@ def components(text: str, tags: list[str]) -> dict[object, int]:
     return votes or {text: 1}
 
 
+def _summed(bits: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """votes @ bits: rows of equal votes are added as bytes, at most 255 at a time."""
+    total = np.zeros(BITS, np.int64)
+    order = np.argsort(votes, kind="stable")
+    values, starts = np.unique(votes[order], return_index=True)
+    for vote, lo, hi in zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        for at in range(lo, hi, 255):
+            total += vote * np.add.reduce(bits[order[at : min(at + 255, hi)]], axis=0, dtype=np.uint8).astype(np.int64)
+    return total
+
+
 def fingerprint_of(text: str | None, tags: list[str] | None) -> list[int]:
     votes = components(text or "", tags or [])
-    total, keys = np.zeros(BITS), list(votes)
+    total, keys = np.zeros(BITS, np.int64), list(votes)
     for at in range(0, len(keys), BLOCK):
         part = keys[at : at + BLOCK]
         bits = _bits([k[1] if isinstance(k, tuple) else k for k in part])
         if pairs := [i for i, k in enumerate(part) if isinstance(k, tuple)]:
             bits[pairs] ^= np.roll(_bits([part[i][0] for i in pairs]), -1, axis=1)
-        total += np.array([votes[k] for k in part], np.float64) @ bits
+        total += _summed(bits, np.array([votes[k] for k in part], np.int64))
     return _lanes(majority(total, sum(votes.values()))).tolist()
 
 

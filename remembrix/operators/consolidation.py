@@ -96,7 +96,9 @@ def consolidate(buffer: DataFrame, graph: DataFrame, total: Column | None = None
     """
     buffer, graph = _scoped(buffer), _scoped(graph)
     total = graph.agg(F.count("*")).scalar() if total is None else total
-    buffer, graph = _groups(buffer.withColumn("_total", total), graph, total)
+    # only what the fold reads, as both sides are written and shuffled
+    read = ["agent", "id", "vector", *_SCOPE]
+    buffer, graph = _groups(buffer.select(*read, "salience", "importance", "seq", "supersedes", total.alias("_total")), graph.select(read), total)
 
     def fold(key: tuple, new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         names = ["agent", "id", "verdict", "similarity", "neighbour", "salience", "importance"]
@@ -153,24 +155,85 @@ def consolidate(buffer: DataFrame, graph: DataFrame, total: Column | None = None
     return kept(buffer.groupBy("_group").cogroup(graph.groupBy("_group")).applyInPandas(fold, _PASS))
 
 
-def links(novel: DataFrame, old: DataFrame, least: int = SHARED) -> DataFrame:
-    """(a, b, ka, kb, ca, cb): each novel memory with those that were there before it, that it may read and that share least tags with it.
+_LINKED = ["id", "agent", "user", "session", "shared_with", "tags", "kind", "created_s"]
 
-    novel: the records, and seq, their order; old: the records. a is the novel one; k and c are kinds and times.
-    """
-    columns = ["id", "agent", "user", "session", "shared_with", "tags", "kind", "created_s"]
-    sides = _scoped(novel).select("seq", *columns), _scoped(old).select(F.lit(None).cast("bigint").alias("seq"), *columns).unionByName(_scoped(novel).select("seq", *columns))
+
+def _sides(novel: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What links() joins: the novel memories, and all that are there, the old ones without seq."""
+    new = _scoped(novel).select("seq", *_LINKED)
+    return new, _scoped(old).select(F.lit(None).cast("bigint").alias("seq"), *_LINKED).unionByName(new)
+
+
+def _readable(new: DataFrame, there: DataFrame, least: int) -> DataFrame:
+    """Rows of new, their columns as n_, with the rows of there that they may read and that share least tags with them; once for each key that they share."""
     tags = lambda df: df.withColumn("tags", F.array_sort(F.array_distinct("tags"))).withColumn("key", F.explode(_tag_keys(F.col("tags"), least)))
-    new = tags(sides[0]).select("key", *(F.col(c).alias(f"n_{c}") for c in ("seq", *columns)))
+    new = tags(new).select("key", *(F.col(c).alias(f"n_{c}") for c in new.columns))
     # who may read a memory at all: its agent and those it is shared with
-    there = tags(sides[1]).withColumn("reader", F.explode(F.array_distinct(F.concat(F.array("agent"), F.coalesce("shared_with", F.array().cast("array<string>"))))))
+    there = tags(there).withColumn("reader", F.explode(F.array_distinct(F.concat(F.array("agent"), F.coalesce("shared_with", F.array().cast("array<string>"))))))
     met = new.join(there, (new["key"] == there["key"]) & (new["n_agent"] == there["reader"]))
     reader = {c: F.col(f"n_{c}") for c in ("agent", "user", "session")}
+    return met.filter(row_can_read(reader, F.col("agent"), F.col("user"), F.col("session"), F.col("shared_with")))
+
+
+def _links(new: DataFrame, there: DataFrame, least: int) -> DataFrame:
+    met = _readable(new, there, least)
     before = F.col("seq").isNull() | (F.struct("seq", "id") < F.struct(F.col("n_seq").alias("seq"), F.col("n_id").alias("id")))
-    seen = met.filter((F.col("n_id") != F.col("id")) & before & row_can_read(reader, F.col("agent"), F.col("user"), F.col("session"), F.col("shared_with")))
+    seen = met.filter((F.col("n_id") != F.col("id")) & before)
     return seen.select(F.col("n_id").alias("a"), F.col("id").alias("b"), F.col("n_kind").alias("ka"), F.col("kind").alias("kb"), F.col("n_created_s").alias("ca"), F.col("created_s").alias("cb")).distinct()
 
 
+def links(novel: DataFrame, old: DataFrame, least: int = SHARED) -> DataFrame:
+    """(a, b, ka, kb, ca, cb): each novel memory with those that were there before it, that it may read and that share least tags with it.
+
+    novel: the records, and seq, their order; old: the records. a is the novel one; k and c are kinds and times.
+    """
+    return _links(*_sides(novel, old), least)
+
+
+#: Stretches of seq in which novel memories are ordered together.
+_STRETCHES = 1024
+
+
+def link_totals(novel: DataFrame, old: DataFrame, least: int = SHARED) -> DataFrame:
+    """(links, timed) in one row: how many rows links() has, and how many of them are between events.
+
+    Memories of the same scope, tags and kind are a class; classes meet, not their members. Of what is novel in a class
+    that another one may read, that before each member of the other counts, by running counts in stretches of seq. Ids
+    that stand in rows that differ are no members; their links are made one by one.
+    """
+    new, there = _sides(novel, old)
+    scope = F.struct("agent", "user", "session", F.array_sort(F.array_distinct("shared_with")).alias("shared_with"), F.array_sort(F.array_distinct("tags")).alias("tags"), F.col("kind").eqNullSafe("event").alias("event"))
+    rows = kept(there.filter("id IS NOT NULL").dropDuplicates().withColumn("class", F.to_json(scope)))
+    own = kept(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    single = rows.join(own, "id", "left_anti")
+    # a novel memory without seq is there from the start, to itself too
+    sizes = single.groupBy("class").agg(*(F.first(c).alias(c) for c in ("agent", "user", "session", "shared_with", "tags")), F.first(F.col("kind").eqNullSafe("event")).alias("event"), F.count_if(F.col("seq").isNull()).alias("old"), F.count("seq").alias("new"))
+    asking = new.filter("id IS NOT NULL").dropDuplicates().join(own, "id", "left_anti").withColumn("class", F.to_json(scope))
+    early = asking.groupBy("class").agg(F.count("*").alias("asking"), F.count_if(F.col("seq").isNull()).alias("early"))
+    sizes = kept(sizes.join(early, "class", "left").fillna(0, ["asking", "early"]))
+    pairs = _readable(sizes.filter("asking > 0"), sizes, least)
+    pairs = kept(pairs.select(F.col("n_class").alias("a"), F.col("class").alias("b"), (F.col("n_event") & F.col("event")).alias("timed"), F.col("n_asking").alias("asking"), F.col("n_early").alias("early"), "old", "new").distinct())
+    count = F.col("asking") * F.col("old") - F.when(F.col("a") == F.col("b"), F.col("early")).otherwise(0)
+    found = pairs.select("timed", count.alias("n"))
+    ordered = single.filter("seq IS NOT NULL").select("class", "seq", "id")
+    ends = ordered.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    ordered = kept(ordered.join(F.broadcast(ends), F.lit(True)).withColumn("part", F.floor((F.col("seq") - F.col("lo")) / ((F.col("hi") - F.col("lo") + 1) / F.lit(float(_STRETCHES))))).drop("lo", "hi"))
+    # 0 for what is read, 1 for a reader, who comes after all before itself and not after itself
+    late = pairs.filter("new > 0 AND asking > early")
+    marks = ordered.join(late.select(F.col("b").alias("class")).distinct(), "class", "left_semi").select(F.col("class").alias("b"), "part", "seq", "id", F.lit(1).alias("mark"), F.lit(False).alias("timed"))
+    marks = marks.unionByName(ordered.join(late.select(F.col("a").alias("class"), "b", "timed"), "class").select("b", "part", "seq", "id", F.lit(0).alias("mark"), "timed"))
+    parts = marks.groupBy("b", "part").agg(F.sum("mark").alias("read"), F.count_if(F.col("mark") == 0).alias("readers"), F.count_if((F.col("mark") == 0) & F.col("timed")).alias("timed"))
+    base = F.sum("read").over(Window.partitionBy("b").orderBy("part")) - F.col("read")
+    parts = parts.select((base * F.col("readers")).alias("links"), (base * F.col("timed")).alias("timed"))
+    upto = F.sum("mark").over(Window.partitionBy("b", "part").orderBy("seq", "id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = marks.withColumn("upto", upto).filter("mark = 0").select(F.col("upto").alias("links"), F.when(F.col("timed"), F.col("upto")).otherwise(0).alias("timed"))
+    odd = new.join(own, "id", "left_semi"), there.join(own, "id", "left_semi")
+    rest = _links(odd[0], there, least).union(_links(new, odd[1], least)).distinct().select(F.lit(1).alias("links"), ((F.col("ka") == "event") & (F.col("kb") == "event")).alias("_timed")).select("links", F.when(F.col("_timed"), 1).otherwise(0).alias("timed"))
+    every = found.select(F.col("n").alias("links"), F.when(F.col("timed"), F.col("n")).otherwise(0).alias("timed")).union(parts).union(within).union(rest)
+    zero = F.lit(0).cast("bigint")
+    return every.agg(F.coalesce(F.sum("links"), zero).alias("links"), F.coalesce(F.sum("timed"), zero).alias("timed"))
+
+
 def edges_of(met: DataFrame) -> DataFrame:
     """What links() gives as edges (src, dst, kind): relates_to both ways, and before and after between events of different times."""
     related = met.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("relates_to").alias("kind")).union(met.select("b", "a", F.lit("relates_to")))
@@ -202,11 +265,15 @@ def reinforced(memories: DataFrame, passed: DataFrame, buffer: DataFrame, now: i
     ).select(memories.columns)
 
 
-def report(passed: DataFrame, met: DataFrame | None = None) -> DataFrame:
-    """processed, promoted, reinforced, dropped, and edges_created: two for each link, and two for each between events."""
+def report(passed: DataFrame, met: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """processed, promoted, reinforced, dropped, and edges_created: two for each link, and two for each between events.
+
+    The links come as links() gives them, or their totals as link_totals() does.
+    """
     count = lambda v, name: F.count_if(F.col("verdict") == v).alias(name)
     out = passed.agg(F.count("*").alias("processed"), count("novel", "promoted"), count("reinforces", "reinforced"), count("redundant", "dropped"))
-    if met is None:
+    if met is not None:
+        totals = met.agg(F.count("*").alias("links"), F.count_if((F.col("ka") == "event") & (F.col("kb") == "event")).alias("timed"))
+    if totals is None:
         return out
-    made = met.agg((2 * F.count("*") + 2 * F.count_if((F.col("ka") == "event") & (F.col("kb") == "event"))).cast("bigint"))
-    return out.withColumn("edges_created", made.scalar())
+    return out.withColumn("edges_created", totals.select((2 * F.col("links") + 2 * F.col("timed")).cast("bigint").alias("made")).scalar())

@@ -350,7 +350,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Turns with odd ids as a buffer, in the order of their time, and the others as what is there."""
-    v = graph.kept(_vectors(spark, sf_dir))
+    v = graph.kept(_vectors(spark, sf_dir).drop("text"))
     return v.filter("id % 2 = 1").withColumn("seq", F.col("created_s")).withColumn("supersedes", F.lit(None).cast("bigint")), v.filter("id % 2 = 0")
 
 
@@ -364,7 +364,7 @@ def consolidation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, known = _halves(spark, sf_dir)
     passed = consolidation.consolidate(new, known)
     novel = new.join(passed.filter("verdict = 'novel'").select("id"), "id", "left_semi")
-    return consolidation.report(passed, consolidation.links(novel, known))
+    return consolidation.report(passed, totals=consolidation.link_totals(novel, known))
 
 
 def _turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators over whole tables, against brute force."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_catalogue import SF
@@ -47,3 +49,23 @@ def test_snapshot_goes_on_past_long_rows(spark):
     order = sorted(range(100), key=lambda i: (-ranks[i] * (1.0 if i < 60 else 0.55), i))
     expected = [(i, order.index(i)) for i in order if i >= 60][:4]
     assert sorted((r.place, r.id) for r in got) == sorted((p, i) for i, p in expected)
+
+
+def test_link_totals_count_what_links_gives(spark):
+    r = random.Random(1)
+
+    def row(i):
+        user = r.choice([None, None, "u0", "u1"])
+        return i, r.choice(["a0", "a1", None]), user, user and r.choice([None, "s0"]), r.choice([None, [], ["a0"], ["a1", "a0", "a0"]]), r.sample("pqrs", r.randrange(1, 5)), r.choice(["event", "fact"]), (i or 0) // 3, r.choice([None, *[(i or 0) % 7 * 100] * 5])
+
+    schema = "id bigint, agent string, user string, session string, shared_with array<string>, tags array<string>, kind string, created_s bigint, seq bigint"
+    novel, old = [row(i) for i in [*range(60), 3, 4, None]], [row(i) for i in [*range(50, 150), 120]]
+    novel, old = spark.createDataFrame([*novel, novel[9]], schema), spark.createDataFrame([*old, old[7]], schema).drop("seq")
+    met = consolidation.links(novel, old)
+    got = consolidation.link_totals(novel, old).first()
+    assert (got.links, got.timed) == (met.count(), met.filter("ka = 'event' AND kb = 'event'").count()) and got.timed
+
+
+def test_report_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(consolidation, "links", None)
+    assert plans.QUERIES["consolidation_report"](spark, SF).first().edges_created > 0
