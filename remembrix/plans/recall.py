@@ -114,9 +114,9 @@ def _with_dense(queries: DataFrame) -> DataFrame:
     return queries if "dense" in queries.columns else queries.withColumn("dense", F.lit(None).cast("array<float>"))
 
 
-def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """answer(queries), for MOST_QUERIES or so at a time, as a block goes to each task. queries: query_id and more."""
-    blocks = -(-queries.count() // MOST_QUERIES)
+def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES) -> DataFrame:
+    """answer(queries), for most or so at a time, as a block goes to each task. queries: query_id and more."""
+    blocks = -(-queries.count() // most)
     if blocks <= 1:
         return answer(queries)
     parts = [answer(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)) for k in range(blocks)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hyper, scoring, text
-from ..operators import consolidation, evaluation, graph, lexical, lifecycle, ranking
+from ..operators import consolidation, evaluation, graph, lexical, lifecycle, nearest, ranking
 from ..schema import AS_OF, EDGES_SQL, MEMORIES_SQL, edges, memories, table
 from .recall import in_blocks, recall, similarities
 from .records import _EFFECTIVE, QUERY_WORDS_SQL, WORDS_SQL, _effective
@@ -147,14 +147,16 @@ def tag_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0)
 SELECT query_id, vec_id, round(sim, 6) AS cosine FROM (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS sim FROM embeddings, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter(_ASKED.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    vectors = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.filter(_ASKED.format("id")).withColumnRenamed("id", "query_id")
 
     def best(part: DataFrame) -> DataFrame:
-        scored = vectors.join(F.broadcast(part), F.lit(True)).select("query_id", "vec_id", F.round(scoring.cosine(F.col("embedding"), F.col("v")), 9).alias("sim"))
-        return ranking.first_k(scored, 5, [F.desc("sim"), F.col("vec_id")]).select("query_id", "vec_id", F.round("sim", 6).alias("cosine"))
+        found = nearest.by_cosine(part, vectors, 5)
+        # minus infinity stands for not-a-number
+        cosine = F.when(F.col("value") == float("-inf"), F.lit(float("nan"))).otherwise(F.round(0.0 - F.col("value"), 6))
+        return ranking.first_k(found, 5, [F.col("value"), F.col("id")]).select("query_id", F.col("id").alias("vec_id"), cosine.alias("cosine"))
 
-    return in_blocks(asked, best)
+    return in_blocks(asked, best, nearest.MOST_QUERIES)
 
 
 def _lanes_sql(token: str) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from test_catalogue import SF
 
 from remembrix import plans
-from remembrix.operators import consolidation, graph, legacy, ranking
+from remembrix.functions import hyper, scoring
+from remembrix.operators import consolidation, graph, legacy, nearest, ranking
 from remembrix.schema import memories
 
 
@@ -69,3 +70,26 @@ def test_link_totals_count_what_links_gives(spark):
 def test_report_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(consolidation, "links", None)
     assert plans.QUERIES["consolidation_report"](spark, SF).first().edges_created > 0
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ROWS", 7)
+    monkeypatch.setattr(nearest, "COLUMNS", 5)
+    r = random.Random(2)
+    lanes = lambda: [r.randrange(-(1 << 63), 1 << 63) for _ in range(hyper.LANES)]
+    some = [lanes() for _ in range(20)]
+    made = [(i, r.choice([*some, lanes(), [~x for x in some[0]]])) for i in range(80)]
+    far = lambda a, b: sum(bin((x ^ y) % (1 << 64)).count("1") for x, y in zip(a, b, strict=True))
+    rows = spark.createDataFrame(made, "id bigint, vector array<bigint>").repartition(3)
+    asked = rows.filter("id % 7 = 0").withColumnRenamed("id", "query_id")
+    got = ranking.first_k(nearest.by_hamming(asked, rows, 5), 5, [F.col("value"), F.col("id")]).collect()
+    assert sorted((x.query_id, x.value, x.id) for x in got) == sorted((q, *best) for q, v in made[::7] for best in sorted((far(v, w), i) for i, w in made)[:5])
+    one = lambda: [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]
+    odd = [(i, one()) for i in range(60)] + [(60, None), (61, []), (62, [1.0, None, 1.0]), (63, [1.0, 2.0]), (64, [2.0, 1.0]), (65, [0.0, 0.0, 0.0]), (66, [float("nan"), 1.0, 0.0])]
+    rows = spark.createDataFrame(odd, "id bigint, vector array<float>").repartition(3)
+    asked = rows.filter("id % 6 = 0 OR id > 59").withColumnRenamed("id", "query_id")
+    got = ranking.first_k(nearest.by_cosine(asked, rows, 5), 5, [F.col("value"), F.col("id")]).collect()
+    pairs = asked.withColumnRenamed("vector", "v").join(rows, F.lit(True)).select("query_id", "id", F.round(scoring.cosine(F.col("vector"), F.col("v")), 9).alias("sim"))
+    expected = ranking.first_k(pairs, 5, [F.desc("sim"), F.col("id")]).collect()
+    assert sorted((x.query_id, x.id) for x in got) == sorted((x.query_id, x.id) for x in expected)
+
