@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hyper, scoring, text
 from ..operators import consolidation, evaluation, graph, lexical, lifecycle, nearest, ranking
 from ..schema import AS_OF, EDGES_SQL, MEMORIES_SQL, edges, memories, table
-from .recall import in_blocks, recall, similarities
+from .recall import in_blocks, recall
 from .records import _EFFECTIVE, QUERY_WORDS_SQL, WORDS_SQL, _effective
 from .registry import query
 
@@ -169,15 +169,19 @@ _HAMMING = "list_sum(list_transform(range(1, 33), lambda i: bit_count(xor({0}[i]
 @query(f"""WITH v AS MATERIALIZED (SELECT c_custkey, {_lanes_sql('c_name')} AS x FROM customer), q AS (SELECT c_custkey AS query_id, x AS y FROM v WHERE c_custkey % 50 = 0)
 SELECT query_id, c_custkey, CAST(d AS BIGINT) AS distance FROM (SELECT query_id, c_custkey, {_HAMMING.format('x', 'y')} AS d FROM v, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, c_custkey) <= 5""")
 def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # written out, or each pair makes its vectors anew
-    named = graph.kept(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), hyper.of_token(F.col("c_name")).alias("vector")))
-    asked = named.filter(_ASKED.format("id")).select(F.col("id").alias("query_id"), "vector")
-
-    def best(part: DataFrame) -> DataFrame:
-        found = similarities(part, named).withColumn("distance", F.round((1 - F.col("fp")) * hyper.BITS / 2).cast("bigint"))
-        return ranking.first_k(found, 5, [F.col("distance"), F.col("id")]).select("query_id", F.col("id").alias("c_custkey"), "distance")
-
-    return in_blocks(asked, best)
+    # dealt out by rows, as the table is small and the work on a row is not
+    customers = table(spark, sf_dir, "customer").filter("c_custkey IS NOT NULL").select(F.col("c_custkey").alias("id"), "c_name")
+    named = lambda df: df.filter("c_name IS NOT NULL").select("id", hyper.of_token(F.col("c_name")).alias("vector"))
+    rows = named(customers.repartition(4 * spark.sparkContext.defaultParallelism))
+    asked = customers.filter(_ASKED.format("id"))
+    # without a name there is no distance, which comes last
+    nothing, first = F.lit(None).cast("double").alias("value"), customers.orderBy("id").limit(5).select("id")
+    nameless = asked.filter("c_name IS NULL").select(F.col("id").alias("query_id")).join(F.broadcast(first), F.lit(True)).select("query_id", "id", nothing)
+    last = customers.filter("c_name IS NULL").orderBy("id").limit(5).select("id")
+    nameless = nameless.union(asked.filter("c_name IS NOT NULL").select(F.col("id").alias("query_id")).join(F.broadcast(last), F.lit(True)).select("query_id", "id", nothing))
+
+    found = in_blocks(named(asked).withColumnRenamed("id", "query_id"), lambda part: nearest.by_hamming(part, rows, 5), nearest.MOST_QUERIES)
+    return ranking.first_k(found.union(nameless), 5, [F.asc_nulls_last("value"), F.col("id")]).select("query_id", F.col("id").alias("c_custkey"), F.col("value").cast("bigint").alias("distance"))
 
 
 def _hex(vector: F.Column) -> F.Column:

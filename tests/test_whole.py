@@ -93,3 +93,14 @@ def test_nearest_by_blocks(spark, monkeypatch):
     expected = ranking.first_k(pairs, 5, [F.desc("sim"), F.col("id")]).collect()
     assert sorted((x.query_id, x.id) for x in got) == sorted((x.query_id, x.id) for x in expected)
 
+
+def test_customers_without_a_name_come_last(spark, tmp_path):
+    for name in ("few", "many"):
+        spark.createDataFrame([(i, None if i in (50, 51, 3) else f"c{i}") for i in (range(49, 53) if name == "few" else range(200))], "c_custkey bigint, c_name string").write.parquet(str(tmp_path / name / "customer.parquet"))
+        got = {}
+        for x in plans.QUERIES["hamming_topk"](spark, str(tmp_path / name)).collect():
+            got.setdefault(x.query_id, []).append((x.c_custkey, x.distance))
+        if name == "few":
+            assert sorted(got[50]) == [(i, None) for i in range(49, 53)]
+        else:
+            assert sorted(got[50]) == [(i, None) for i in range(5)] and (100, 0) in got[100] and not any(d is None for _, d in got[100])
