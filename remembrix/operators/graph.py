@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +66,138 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), w.alias("w")).union(edges.select("dst", "src", w * 0.5))
 
 
+#: Arcs of a graph that goes to each task as a whole, and queries of a task. Larger graphs are walked by joins.
+MOST_ARCS, QUERIES = 1 << 22, 64
+
+
+class Packed:
+    """A graph as arrays: of node i, whose id is ids[i], the arcs stand from starts[i] to starts[i + 1]. The last node, without arcs, stands for null."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, null: np.ndarray, w: np.ndarray):
+        self.ids = np.unique(np.concatenate([a, b[~null]]))
+        a = np.searchsorted(self.ids, a)
+        b = np.where(null, len(self.ids), np.searchsorted(self.ids, b))
+        order = np.lexsort((b, a))
+        self.ends, self.w = b[order].astype(np.int32), w[order]
+        self.starts = np.searchsorted(a[order], np.arange(len(self.ids) + 2))
+        self.null = len(self.ids)
+
+    def arcs(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all arcs of nodes, and how many each has."""
+        first, count = self.starts[nodes], self.starts[nodes + 1] - self.starts[nodes]
+        upto = np.cumsum(count)
+        return np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - count), count), count
+
+    def depths(self, seeds: np.ndarray, hops: int, depth: np.ndarray) -> np.ndarray:
+        """The nodes within hops of seeds, in their order. depth: -1 for each node, which is filled in for these."""
+        depth[seeds] = 0
+        front, seen = seeds, [seeds]
+        for hop in range(1, hops + 1):
+            ends = self.ends[self.arcs(front)[0]]
+            ends = ends[depth[ends] < 0]
+            depth[ends] = hop
+            front = np.nonzero(depth == hop)[0] if len(ends) * 16 > len(depth) else np.unique(ends)
+            seen.append(front)
+        return np.sort(np.concatenate(seen))
+
+    def ranks(self, nodes: np.ndarray, seeds: np.ndarray, lost: int, place: np.ndarray, rounds: int, damping: float) -> np.ndarray:
+        """The rank of each of nodes, which are sorted, and of lost seeds without edges; place: -1 for each node of the graph, as after the call."""
+        place[nodes] = np.arange(len(nodes))
+        at, count = self.arcs(nodes)
+        ends = place[self.ends[at]]
+        inside = (ends >= 0) & (self.w[at] > 0)
+        row = np.repeat(np.arange(len(nodes)), count)[inside]
+        ends, w = ends[inside], self.w[at][inside]
+        size = len(nodes) + lost
+        total = np.bincount(row, w, size)
+        own = np.concatenate([place[seeds], np.arange(len(nodes), size)])
+        place[nodes] = -1
+        start = np.zeros(size)
+        start[own] = 1.0 / len(own)
+        w = w / total[row]
+        # arcs sorted by where they go, so that each round adds up stretches
+        order = np.argsort(ends, kind="stable")
+        row, w, ends = row[order], w[order], ends[order]
+        first = np.nonzero(np.diff(ends, prepend=-1))[0]
+        reached = ends[first]
+        loose = total == 0
+        rank = start
+        for _ in range(rounds):
+            moved = np.zeros(size)
+            if len(first):
+                moved[reached] = np.add.reduceat(rank[row] * w, first)
+            if loose.any():
+                moved[own] += rank[loose].sum() / size
+            rank = (1 - damping) * start + damping * moved
+        return rank
+
+
+def packed(edges: DataFrame) -> Packed | None:
+    """Both ways of the edges, or nothing if they are too many to go to each task. Edges count once for each kind; those of unknown kinds are walked, but have no weight."""
+    arcs = both_ways(edges.select("src", "dst", "kind").distinct()).filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    arcs = kept(arcs)
+    if arcs.count() > MOST_ARCS:
+        return None
+    got = arcs.select("a", F.coalesce("b", F.lit(0)).alias("b"), F.col("b").isNull().alias("null"), F.coalesce("w", F.lit(0.0)).alias("w")).toArrow()
+    return Packed(*(got[c].to_numpy() for c in ("a", "b", "null", "w")))
+
+
+def _searched(graph: Packed, seeds: DataFrame, hops: int, answer: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """(query_id, id, ...): for each query of seeds what answer(graph, nodes, own seeds, seeds without edges, depths, scratch) gives for its neighbourhood, without arcs or nodes between tasks."""
+    grouped = seeds.select("query_id", "id").filter("query_id IS NOT NULL AND id IS NOT NULL").groupBy("query_id").agg(F.collect_set("id").alias("own"))
+    grouped = kept(grouped)
+    tasks = max(1, -(-grouped.count() // QUERIES))
+    sent = seeds.sparkSession.sparkContext.broadcast(graph)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = sent.value
+        depth, scratch = np.full(g.null + 1, -1, np.int8), np.full(g.null + 1, -1, np.int32)
+        for batch in batches:
+            for query, own in zip(batch.column("query_id").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                own = np.sort(np.array(own, np.int64))
+                at = np.searchsorted(g.ids, own)
+                known = at < len(g.ids)
+                known[known] = g.ids[at[known]] == own[known]
+                lost = own[~known]  # seeds without edges
+                nodes = g.depths(at[known], hops, depth)
+                found = answer(g, nodes, at[known], lost, depth, scratch)
+                depth[nodes] = -1
+                for lo in range(0, len(found["id"]), 1 << 18):
+                    part = {c: v[lo : lo + (1 << 18)] for c, v in found.items()}
+                    columns = {"query_id": pa.array(np.full(len(part["id"]), query, np.int64)), "id": pa.array(part["id"], mask=part.pop("null", None))} | {c: pa.array(v) for c, v in part.items() if c != "id"}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return grouped.repartition(tasks, "query_id").mapInArrow(search, schema)
+
+
+def _named(g: Packed, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of nodes, and which of them stand for null."""
+    null = nodes == g.null
+    return (g.ids[np.where(null, 0, nodes)] if len(g.ids) else nodes), null
+
+
+def packed_neighbourhood(graph: Packed, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
+    """neighbourhood() over a packed graph; a null end of an edge is a node from which nothing goes on."""
+
+    def answer(g, nodes, own, lost, depth, scratch):
+        ids, null = _named(g, nodes)
+        return {"id": np.concatenate([ids, lost]), "null": np.concatenate([null, np.zeros(len(lost), bool)]), "depth": np.concatenate([depth[nodes], np.zeros(len(lost), np.int8)]).astype(np.int32)}
+
+    return _searched(graph, seeds, hops, answer, "query_id bigint, id bigint, depth int")
+
+
+def packed_pagerank(graph: Packed, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, hops: int = HOPS, least: float = 1e-6) -> DataFrame:
+    """personalized_pagerank() over a packed graph, of seeds alone."""
+
+    def answer(g, nodes, own, lost, depth, scratch):
+        nodes = nodes[nodes != g.null]
+        ranks, ids = g.ranks(nodes, own, len(lost), scratch, rounds, damping), np.concatenate([g.ids[nodes], lost])
+        high = ranks > least
+        return {"id": ids[high], "ppr": ranks[high]}
+
+    return _searched(graph, seeds, hops, answer, "query_id bigint, id bigint, ppr double")
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
     """(query_id, id, depth): what is within hops steps of the seeds (query_id, id) in any direction."""
     steps = both_ways(edges).select("a", "b").distinct()

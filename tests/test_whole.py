@@ -9,7 +9,7 @@ from test_catalogue import SF
 from remembrix import plans
 from remembrix.functions import hyper, scoring
 from remembrix.operators import consolidation, graph, legacy, nearest, ranking
-from remembrix.schema import memories
+from remembrix.schema import EDGE, EDGE_WEIGHT, memories
 
 
 def test_linked_classes_with_several_tags(spark):
@@ -104,3 +104,26 @@ def test_customers_without_a_name_come_last(spark, tmp_path):
             assert sorted(got[50]) == [(i, None) for i in range(49, 53)]
         else:
             assert sorted(got[50]) == [(i, None) for i in range(5)] and (100, 0) in got[100] and not any(d is None for _, d in got[100])
+
+
+def test_packed_walks_equal_joins(spark):
+    r = random.Random(3)
+    made = [(r.randrange(60), r.randrange(60), r.choice([*EDGE_WEIGHT, "other"]), i) for i in range(70)]
+    made += made[:5] + [(7, None, "supports", 0), (None, 9, "supports", 0)]
+    edges = spark.createDataFrame(made, EDGE)
+    seeds = spark.createDataFrame([(q, i) for q in range(100, 112) for i in r.sample(range(70), 1 + q % 3)] + [(200, 999), (201, 7), (201, 998)], "query_id bigint, id bigint")
+    whole = graph.packed(edges)
+    got = sorted((x.query_id, x.id, x.depth) for x in graph.packed_neighbourhood(whole, seeds).filter("id IS NOT NULL").collect())
+    assert got == sorted((x.query_id, x.id, x.depth) for x in graph.neighbourhood(edges, seeds).filter("id IS NOT NULL").collect())
+    assert graph.packed_neighbourhood(whole, seeds).filter("id IS NULL AND query_id = 201").collect()[0].depth == 1
+    full = edges.dropna()
+    ranks = {(x.query_id, x.id): x.ppr for x in graph.packed_pagerank(graph.packed(full), seeds).collect()}
+    assert ranks == pytest.approx({(x.query_id, x.id): x.ppr for x in graph.personalized_pagerank(full, seeds).collect()})
+
+
+@pytest.mark.parametrize("name", ["ppr"])
+def test_large_graphs_are_walked_by_joins(spark, monkeypatch, name):
+    found = lambda: sorted(map(tuple, plans.QUERIES[name](spark, SF).collect()))
+    by_arrays = found()
+    monkeypatch.setattr(graph, "MOST_ARCS", 5)
+    assert graph.packed(plans.retrieval.edges(spark, SF)) is None and found() == by_arrays
