@@ -234,7 +234,9 @@ def _asked_nodes(e: DataFrame) -> DataFrame:
 @query(f"{_KHOP_SQL} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, CAST(depth AS BIGINT) AS depth FROM local_")
 def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    return graph.neighbourhood(e, _asked_nodes(e)).withColumn("depth", F.col("depth").cast("bigint"))
+    whole = graph.packed(e)
+    found = graph.packed_neighbourhood(whole, _asked_nodes(e)) if whole else graph.neighbourhood(e, _asked_nodes(e))
+    return found.withColumn("depth", F.col("depth").cast("bigint"))
 
 
 def _ppr_sql(rounds: int) -> str:

@@ -121,7 +121,7 @@ def test_packed_walks_equal_joins(spark):
     assert ranks == pytest.approx({(x.query_id, x.id): x.ppr for x in graph.personalized_pagerank(full, seeds).collect()})
 
 
-@pytest.mark.parametrize("name", ["ppr"])
+@pytest.mark.parametrize("name", ["k_hop", "ppr"])
 def test_large_graphs_are_walked_by_joins(spark, monkeypatch, name):
     found = lambda: sorted(map(tuple, plans.QUERIES[name](spark, SF).collect()))
     by_arrays = found()
